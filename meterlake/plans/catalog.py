@@ -68,4 +68,6 @@ def query(name: str, columns: str, sql: str | None = None, needs: str = "", extr
 def load_all() -> None:
     from meterlake.plans import (  # noqa: F401
         base_queries,
+        join_queries,
+        window_queries,
     )
