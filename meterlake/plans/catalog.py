@@ -70,4 +70,5 @@ def load_all() -> None:
         base_queries,
         join_queries,
         window_queries,
+        rollup_queries,
     )
