@@ -37,7 +37,8 @@ def stability_index(base: DataFrame, current: DataFrame, column: str, bins: int
     edges = quantiles(base, [], column, points).select(F.array(*points)).scalar()
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        rows = df.where(F.col(column).isNotNull()).select(value_bucket(edges, F.col(column)).alias("bin"))
+        rows = df.where(F.col(column).isNotNull()).select(F.col(column), edges.alias("_edges"))
+        rows = rows.select(value_bucket(F.col("_edges"), F.col(column)).alias("bin"))
         return rows.groupBy("bin").agg(F.count(F.lit(1)).alias(name))
 
     spark = base.sparkSession
@@ -157,7 +158,8 @@ def ranking_quality(df: DataFrame, score: str, label: str, cuts: int = 64) -> Da
     )
     marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     edges = per.groupBy().agg(F.percentile_approx("_v", marks, 1000)).scalar()
-    cut = running(per, [], value_bucket(edges, F.col("_v")), ["_v"], sums={"_cp": "_pos", "_cn": "_neg"}, descending=True)
+    per = per.withColumn("_edges", edges)
+    cut = running(per, [], value_bucket(F.col("_edges"), F.col("_v")), ["_v"], sums={"_cp": "_pos", "_cn": "_neg"}, descending=True)
     auc = F.sum(F.col("_neg") * (F.col("_cp") - F.col("_pos") / 2.0))
     ap = F.sum(F.col("_pos") * F.col("_cp") / (F.col("_cp") + F.col("_cn")))
     return cut.groupBy().agg(

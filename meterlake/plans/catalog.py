@@ -71,4 +71,6 @@ def load_all() -> None:
         join_queries,
         window_queries,
         rollup_queries,
+        peer_grid_queries,
+        score_queries,
     )
