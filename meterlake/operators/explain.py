@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.functions.text import feature_name, grouped
 from meterlake.operators.features import season
 from meterlake.operators.joins import calendar_flags
 
@@ -69,3 +70,129 @@ def decision(measured: DataFrame, least_drop: float = 0.20, unexplained_limit: f
         .when(open_part <= unexplained_limit, F.lit("Explained by known causes"))
     )
     return measured.withColumns({"unexplained_fraction": unexplained, "escalate": escalate, "reason": reason})
+
+
+# ---------------------------------------------------------------- contributions and texts
+
+# What each kind of anomaly means
+KINDS = {
+    "bypass": "suspected meter bypass — sudden sharp drop in recorded consumption",
+    "slowdown": "meter slowdown — consistent under-reading vs peer group over 30+ days",
+    "phase_reversal": "phase reversal detected — power factor anomaly indicating reversed meter wiring",
+    "flatline": "flatline readings — near-zero variance for extended period suggesting meter manipulation",
+    "illegal_extension": "illegal tap extension — feeder energy balance deficit implicates unreported connections",
+    "clock_fraud": "clock fraud — consumption pattern shifted to off-peak hours to evade ToU pricing",
+    "unknown": "unclassified anomaly — multiple detector signals triggered without clear pattern match",
+}
+UNKNOWN_KIND = "anomalous reading pattern"
+
+
+def contributions(df: DataFrame, coefficients: dict[str, float], top: int = 10) -> DataFrame:
+    """Exact Shapley values of a linear model, coefficient times distance to the mean, largest first."""
+    means = df.groupBy().agg(F.struct(*[F.avg(c).alias(c) for c in coefficients])).scalar()
+    shap = {c: F.lit(w) * (F.col(c) - F.col("_mean")[c]) for c, w in coefficients.items()}
+    rows = df.withColumn("_mean", means)
+    parts = F.array(
+        *[
+            F.struct(
+                (-F.abs(F.round(s, 9))).alias("order"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), s.alias("shap_value")
+            )
+            for c, s in shap.items()
+        ]
+    )
+    best = F.transform(
+        F.slice(F.array_sort(parts), 1, top),
+        lambda p: F.struct(
+            p["feature"].alias("feature"),
+            p["value"].alias("value"),
+            p["shap_value"].alias("shap_value"),
+            F.when(p["shap_value"] > 0, "increased").otherwise("decreased").alias("direction"),
+        ),
+    )
+    return rows.withColumn("shap", best).drop("_mean")
+
+
+def factor_lines(shap: Column, top: int = 5) -> Column:
+    def line(p: Column) -> Column:
+        way = F.when(p["shap_value"] > 0, "pushed anomaly score higher").otherwise("normal signal")
+        return F.format_string("  - %s: %s (SHAP=%+.3f, value=%.3f)", feature_name(p["feature"]), way, p["shap_value"], p["value"])
+
+    return F.array_join(F.transform(F.slice(shap, 1, top), line), "\n")
+
+
+def alert_text(df: DataFrame, issuer: str = "Utility") -> DataFrame:
+    """Readable report per alert. Needs meter_id, zone, consumer_type, tariff_category, severity, anomaly_kind,
+    anomaly_score, revenue_impact, detectors, detectors_agreeing, shap and calendar_note (may be null)."""
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(kinds, F.col("anomaly_kind")), F.lit(UNKNOWN_KIND))
+    percent = F.floor(F.col("anomaly_score") * 100 + 0.5)
+    action = (
+        F.when(F.col("severity") == "Critical", "Inspect on site within 24 hours; look for a bypass at socket and distribution board.")
+        .when(F.col("severity") == "High", F.concat(F.lit("Inspect on site within 3-5 days; verify wiring and seals ("), "consumer_type", F.lit(").")))
+        .otherwise("Notify the consumer first; inspect within 2 weeks if there is no response.")
+    )
+    lines = [
+        F.concat(F.lit(f"{issuer} smart meter alert: "), "severity", F.lit(" risk")),
+        F.format_string("Meter %d in %s, %s (%s)", F.col("meter_id"), F.col("zone"), F.initcap("consumer_type"), F.col("tariff_category")),
+        F.format_string("Summary: %d%% theft probability for %s.", percent, kind),
+        F.concat(F.lit("Estimated loss: INR "), grouped(F.col("revenue_impact")), F.lit(" per day")),
+        F.concat(F.lit("Detectors triggered: "), F.when(F.col("detectors") == "", "none").otherwise(F.col("detectors"))),
+        F.lit("Top contributing factors:"),
+        factor_lines(F.col("shap")),
+        F.concat(F.lit("Calendar note: "), F.col("calendar_note")),
+        F.concat(F.lit("Recommended action: "), action),
+        F.concat(
+            F.lit("Confidence: "),
+            F.when(F.col("detectors_agreeing") >= 3, "High").otherwise("Medium"),
+            F.format_string(" (%d/4 detectors agree)", F.col("detectors_agreeing")),
+        ),
+    ]
+    return df.withColumn("report", F.concat_ws("\n", *lines))
+
+
+def consumer_notice(df: DataFrame, change_pct: str, issuer: str = "Utility") -> DataFrame:
+    """Polite notice about an unusual pattern, without naming a suspicion."""
+    way = F.when(F.col(change_pct) < 0, "lower").otherwise("higher")
+    size = F.floor(F.abs(F.col(change_pct)) + 0.5)
+    body = F.format_string(
+        "Dear consumer (%d), your electricity use over the past weeks was %d%% %s than usual. "
+        "If you know the reason, nothing is needed; if not, please contact us within 7 days.",
+        F.col("meter_id"),
+        size,
+        way,
+    )
+    return df.withColumns({"subject": F.lit(f"Unusual consumption pattern on your {issuer} account"), "body": body})
+
+
+def single_effect(causes: DataFrame, cause: str) -> DataFrame:
+    """Slope of daily energy on one cause per meter, and how far the cause moved: the one-cause effect table."""
+    rows = causes.where(F.col("kwh").isNotNull() & F.col(cause).isNotNull())
+    up, down = Window.partitionBy("meter_id").orderBy("date"), Window.partitionBy("meter_id").orderBy(F.desc("date"))
+    placed = rows.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)})
+    c = F.col(cause)
+    return placed.groupBy("meter_id").agg(
+        F.regr_slope("kwh", cause).alias("slope"),
+        (F.avg(F.when(F.col("_down") <= 7, c)) - F.avg(F.when(F.col("_up") <= 21, c))).alias("move"),
+    )
+
+
+def recent_peer_gap(rows: DataFrame, last: int = 24) -> DataFrame:
+    """Mean gap to the peer mean over each meter's last slots."""
+    from meterlake.operators.ranking import top_per_key
+
+    recent = top_per_key(rows, ["meter_id"], [F.desc("hour_ts")], last)
+    return recent.groupBy("meter_id").agg(
+        F.coalesce(F.avg(F.coalesce("kwh", F.lit(0.0)) - F.coalesce("peer_mean", F.lit(0.0))), F.lit(0.0)).alias("recent_peer_gap"),
+        F.count(F.lit(1)).alias("slots"),
+    )
+
+
+def model_inputs(df: DataFrame, wanted: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """Wanted columns that exist, in the wanted order: categories as sorted codes, nulls as 0, flags as numbers."""
+    from meterlake.operators.features import encode_labels
+
+    have = [c for c in wanted if c in df.columns]
+    codes = [c for c in have if c in categorical]
+    coded = encode_labels(df.select(*keys, *have), codes)
+    out = [F.col(f"{c}_code").cast("double").alias(c) if c in codes else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in have]
+    return coded.select(*keys, *out)

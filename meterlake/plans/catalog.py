@@ -73,4 +73,6 @@ def load_all() -> None:
         rollup_queries,
         peer_grid_queries,
         score_queries,
+        forecast_queries,
+        stream_queries,
     )

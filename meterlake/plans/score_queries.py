@@ -376,7 +376,7 @@ PSI_EDGES = "SELECT [" + ", ".join(f"quantile_cont(kwh, {i / 10})" for i in rang
     "bin:i base_rows:i current_rows:i contribution:d",
     """SELECT bin, base_rows, current_rows, (q - p) * ln(q / p) AS contribution FROM (SELECT *, greatest(base_rows / sum(base_rows) OVER (), 1E-4) AS p,
     greatest(current_rows / sum(current_rows) OVER (), 1E-4) AS q FROM (
-    SELECT len(list_filter(e, x -> x < kwh)) AS bin, count(*) FILTER (timestamp < TIMESTAMP '2024-01-16') AS base_rows,
+    SELECT len(list_filter(e, lambda x: x < kwh)) AS bin, count(*) FILTER (timestamp < TIMESTAMP '2024-01-16') AS base_rows,
     count(*) FILTER (timestamp >= TIMESTAMP '2024-01-16') AS current_rows FROM readings, psi_edges WHERE kwh IS NOT NULL GROUP BY 1))""",
     "readings psi_edges",
     {"psi_edges": ("readings", PSI_EDGES)},

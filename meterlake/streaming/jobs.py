@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meterlake.functions.kernels import Changepoints
 from meterlake.sources.storage import shared_folder
 from meterlake.sources.views import Views
 
@@ -38,3 +45,131 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def without_copies(readings: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Drop repeated (meter, timestamp) readings; state is kept for ``delay`` only."""
+    return readings.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["meter_id", "timestamp"])
+
+
+def hourly_rollup(readings: DataFrame, delay: str = "3 days") -> DataFrame:
+    """Tumbling hourly rollup; an hour is emitted once, when nothing later than ``delay`` can still change it."""
+    return (
+        readings.withWatermark("timestamp", delay)
+        .groupBy(F.window("timestamp", "1 hour").alias("w"), "meter_id")
+        .agg(
+            F.avg("kwh").alias("avg_kwh"),
+            F.sum("kwh").alias("total_kwh"),
+            F.max("kwh").alias("peak_kwh"),
+            F.min("kwh").alias("min_kwh"),
+            F.stddev("kwh").alias("std_kwh"),
+            F.count(F.lit(1)).alias("reading_count"),
+            F.count_if(F.col("kwh").isNull() | (F.col("communication_status") > 0)).alias("imputed_count"),
+        )
+        .select("meter_id", F.col("w.start").alias("hour"), "avg_kwh", "total_kwh", "peak_kwh", "min_kwh", "std_kwh", "reading_count", "imputed_count")
+    )
+
+
+def sliding_feeder_load(readings: DataFrame, registry: DataFrame, delay: str = "3 hours") -> DataFrame:
+    """Metered energy per feeder in one-hour windows that start every 15 minutes."""
+    rows = readings.withWatermark("timestamp", delay).join(registry.select("meter_id", "feeder_id"), "meter_id")
+    return (
+        rows.groupBy("feeder_id", F.window("timestamp", "1 hour", "15 minutes").alias("w"))
+        .agg(F.sum("kwh").alias("billed_kwh"), F.count(F.lit(1)).alias("readings"))
+        .select("feeder_id", F.col("w.start").alias("window_start"), "billed_kwh", "readings")
+    )
+
+
+def outage_sessions(readings: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> DataFrame:
+    """Runs of failed communication per meter, ended by ``gap`` without another failure."""
+    rows = readings.where(F.col("communication_status") == 2).withWatermark("timestamp", delay)
+    return (
+        rows.groupBy("meter_id", F.session_window("timestamp", gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("failures"))
+        .select("meter_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "failures")
+    )
+
+
+def enriched(readings: DataFrame, registry: DataFrame) -> DataFrame:
+    return readings.join(registry.select("meter_id", "zone", "consumer_type", "feeder_id"), "meter_id", "left")
+
+
+def stateful_changepoints(readings: DataFrame, detector: Changepoints | None = None) -> DataFrame:
+    """Breaks per meter, with the detector's run-length table as state of bounded size.
+
+    Rows of a meter inside one micro-batch are put in time order; order between batches is the source's.
+    """
+    d = detector or Changepoints()
+
+    def advance(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = pickle.loads(state.get[1]) if state.exists else None  # noqa: S301 (our own state)
+        base = state.get[0] if state.exists else 0
+        rows = pd.concat(list(chunks)).sort_values(["timestamp", "reading_id"])
+        masses, breaks, new = d.scan(rows["kwh"].to_numpy(), old)
+        state.update((base + len(rows), pickle.dumps(new)))
+        at = np.flatnonzero(breaks)
+        yield pd.DataFrame(
+            {
+                "meter_id": np.full(len(at), key[0]),
+                "position": base + at + 1,
+                "timestamp": rows["timestamp"].to_numpy()[at],
+                "probability": masses[at],
+            }
+        )
+
+    rows = readings.where(F.col("kwh").isNotNull()).select("meter_id", "timestamp", "reading_id", "kwh")
+    return rows.groupBy("meter_id").applyInPandasWithState(
+        advance,
+        "meter_id bigint, position bigint, timestamp timestamp, probability double",
+        "seen bigint, table binary",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def feeder_matches(readings: DataFrame, registry: DataFrame, telemetry: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """Readings joined with their feeder's telemetry of the same hour; both sides are streams with watermarks."""
+    left = readings.join(registry.select("meter_id", "feeder_id"), "meter_id").withWatermark("timestamp", delay)
+    right = telemetry.select(
+        F.col("feeder_id").alias("_f"), F.col("timestamp").alias("fed_at"), "feeder_input_kwh"
+    ).withWatermark("fed_at", delay)
+    same_hour = (F.col("timestamp") >= F.col("fed_at")) & (F.col("timestamp") < F.col("fed_at") + F.expr("INTERVAL 1 HOUR"))
+    return left.join(right, (F.col("feeder_id") == F.col("_f")) & same_hour).select(
+        "reading_id", "meter_id", "feeder_id", "timestamp", "kwh", "feeder_input_kwh"
+    )
+
+
+def run_counted(stream: DataFrame, path: str) -> dict[str, int]:
+    """Process what is new since the last run at ``path``; count the rows read and those the watermark turned away."""
+    q = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{path}/data")
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    seen = {"input_rows": 0, "dropped_rows": 0}
+    for p in q.recentProgress:
+        seen["input_rows"] += int(p["numInputRows"])
+        seen["dropped_rows"] += sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])
+    return seen
+
+
+def write_batches(stream: DataFrame, name: str) -> DataFrame:
+    """Micro-batches into (date, batch) partitions that a repeated batch overwrites: each row lands once."""
+    spark = stream.sparkSession
+    path = shared_folder(spark, name)
+
+    def put(batch: DataFrame, number: int) -> None:
+        (
+            batch.withColumns({"date": F.to_date("timestamp"), "batch": F.lit(number)})
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("date", "batch")
+            .parquet(f"{path}/data")
+        )
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/data")
