@@ -102,9 +102,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: dict[str,
         F.percentile_approx("_v", marks, 1000).alias("_edges"),
         F.sum("_c").alias("_total"),
     )
-    joined = counted.join(edges, list(keys)) if keys else counted.withColumns(
-        {"_edges": edges.select("_edges").scalar(), "_total": edges.select("_total").scalar()}
-    )
+    if keys:
+        joined = counted.join(edges, list(keys))
+    else:
+        both = edges.select(F.struct("_edges", "_total")).scalar()
+        joined = counted.withColumn("_both", both).select("*", "_both._edges", "_both._total").drop("_both")
     joined = joined.withColumn("_vb", value_bucket(F.col("_edges"), F.col("_v"))).drop("_edges")
     ranked = running(joined, keys, F.col("_vb"), ["_v"], sums={"_upto": "_c"})
     made = []

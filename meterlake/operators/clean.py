@@ -60,10 +60,14 @@ def peer_medians(observed: DataFrame, peers: DataFrame, kwh: str = "kwh") -> Dat
     return quantiles(keyed, ["peer_cluster_id", "hour", "is_weekend"], "_x", {"peer_median": 0.5})
 
 
-def impute(grid: DataFrame, peers: DataFrame, week_slots: int = 168) -> DataFrame:
-    """Three-stage cascade. ``imputation_stage`` is 0 for rows as read, null where nothing could fill the gap."""
+def impute(grid: DataFrame, peers: DataFrame, week_slots: int = 168, observed: DataFrame | None = None) -> DataFrame:
+    """Three-stage cascade. ``imputation_stage`` is 0 for rows as read, null where nothing could fill the gap.
+
+    ``observed`` may name the slots before densifying, which saves building the grid once more for the medians.
+    """
+    extra = [c for c in grid.columns if c not in ("meter_id", "hour_ts", "kwh")]
     filled = fill_from_series(grid, week_slots)
-    medians = peer_medians(grid.where(~is_gap()), peers)
+    medians = peer_medians((grid if observed is None else observed).where(~is_gap()), peers)
     rows = filled.join(peers.select("meter_id", "peer_cluster_id"), "meter_id", "left").withColumns(
         {"hour": F.hour("hour_ts"), "is_weekend": day_type("hour_ts")}
     )
@@ -81,6 +85,7 @@ def impute(grid: DataFrame, peers: DataFrame, week_slots: int = 168) -> DataFram
         F.coalesce("kwh_2", "peer_median").alias("kwh"),
         F.col("was_gap").alias("is_imputed"),
         stage.alias("imputation_stage"),
+        *extra,
     )
 
 

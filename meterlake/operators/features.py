@@ -130,36 +130,43 @@ def lags(grid: DataFrame, value: str, steps: Sequence[int], ts: str = "hour_ts")
 def rolling(grid: DataFrame, value: str, widths: Sequence[int], ts: str = "hour_ts") -> DataFrame:
     """Mean, sample deviation and maximum over rows -n..0 (n + 1 rows), on a dense grid.
 
-    Mean and deviation come from running sums minus lagged running sums: linear work however wide the frame.
-    The maximum keeps a sliding frame.
+    Work per row does not grow with the frame: mean and deviation come from running sums minus lagged running sums,
+    the maximum from maxima over 1, 2, 4, ... rows, each the greater of two halves. All windows share one sort.
     """
     order = Window.partitionBy("meter_id").orderBy(ts)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     centre = F.avg(value).over(Window.partitionBy("meter_id"))
     # sums of differences to the meter's mean lose no digits when squares are subtracted
-    base = grid.withColumn("_x", F.col(value) - centre)
+    base = grid.withColumn("_centre", centre).withColumn("_x", F.col(value) - F.col("_centre"))
     base = base.withColumns(
         {
             "_s1": F.coalesce(F.sum("_x").over(upto), F.lit(0.0)),
             "_s2": F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(upto), F.lit(0.0)),
             "_n": F.count("_x").over(upto),
-            "_c": F.col(value) - F.col("_x"),
-            "_centre": centre,
+            "_m1": F.col(value),
         }
     )
+    power = 1
+    while 2 * power <= max(widths) + 1:
+        half = F.col(f"_m{power}")
+        base = base.withColumn(f"_m{2 * power}", F.greatest(half, F.lag(half, power).over(order)))
+        power *= 2
     made = {}
     for k in widths:
         n = F.col("_n") - F.coalesce(F.lag("_n", k + 1).over(order), F.lit(0))
         s1 = F.col("_s1") - F.coalesce(F.lag("_s1", k + 1).over(order), F.lit(0.0))
         s2 = F.col("_s2") - F.coalesce(F.lag("_s2", k + 1).over(order), F.lit(0.0))
         spread = (s2 - s1 * s1 / n) / (n - 1)
+        p = 2 ** ((k + 1).bit_length() - 1)
+        top = F.col(f"_m{p}")
         made |= {
             f"roll_mean_{k}": F.when(n > 0, F.col("_centre") + s1 / n),
             # what remains of a constant run after subtraction is rounding noise
             f"roll_std_{k}": F.when(n > 1, F.sqrt(F.when(spread > 1e-9, spread).otherwise(F.lit(0.0)))),
-            f"roll_max_{k}": F.max(value).over(order.rowsBetween(-k, 0)),
+            f"roll_max_{k}": F.greatest(top, F.lag(top, k + 1 - p).over(order)) if k + 1 > p else top,
         }
-    return base.withColumns(made).drop("_x", "_s1", "_s2", "_n", "_c", "_centre")
+    out = base.withColumns(made)
+    return out.drop("_x", "_s1", "_s2", "_n", "_centre", *[c for c in base.columns if c.startswith("_m")])
 
 
 def day_statistics(grid: DataFrame, value: str = "kwh", ts: str = "hour_ts") -> DataFrame:
@@ -190,17 +197,27 @@ def change_ratio(value: Column, before: Column) -> Column:
 def rollback(register: DataFrame) -> DataFrame:
     """Is the cumulative register below its previous reading? Null on a meter's first reading."""
     rows = neighbours(
-        register, ["meter_id"], F.date_trunc("day", "timestamp"), ["timestamp", "reading_id"], ["cumulative_kwh"]
+        register, ["meter_id"], F.date_trunc("hour", "timestamp"), ["timestamp", "reading_id"], ["cumulative_kwh"]
     )
     return rows.withColumn("cumulative_rollback", F.col("cumulative_kwh") < F.col("prev_cumulative_kwh"))
 
 
-def runs(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], state: str) -> DataFrame:
-    """Consecutive rows with equal ``state``: first and last place and length of each run."""
-    marked = neighbours(df, keys, bucket, order, [state])
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, bucket: Column | None = None) -> DataFrame:
+    """Consecutive rows with equal ``state``: first and last place and length of each run.
+
+    Without a bucket the rows of one key must be bounded (a dense grid); with one they may be any number.
+    """
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        marked = df.withColumn(f"prev_{state}", F.lag(state).over(w))
+    else:
+        marked = neighbours(df, keys, bucket, order, [state])
     start = (~F.col(state).eqNullSafe(F.col(f"prev_{state}"))) | F.col(f"prev_{state}").isNull()
     marked = marked.withColumn("_start", start.cast("int"))
-    numbered = running(marked, keys, bucket, order, sums={"run_id": "_start"})
+    if bucket is None:
+        numbered = marked.withColumn("run_id", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        numbered = running(marked, keys, bucket, order, sums={"run_id": "_start"})
     return numbered.groupBy(*keys, "run_id").agg(
         F.first(state).alias(state),
         F.min(order[0]).alias("run_start"),

@@ -150,7 +150,7 @@ def listed(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[s
     return lists.select(*keys, "segment", F.transform("_l", lambda x: x["item"]).alias("items"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, out: str, bucket: str = "day") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, out: str, bucket: str = "hour") -> DataFrame:
     """Last right value at or before each left row.
 
     Both sides are cut by time bucket; the last value of the earlier buckets is carried in by a small table,

@@ -11,12 +11,19 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.kernels import Changepoints, forest_scores, grow_tree
 from meterlake.operators import forecast
-from meterlake.sources.storage import settle
+from meterlake.sources.storage import settle, shared_folder
+
+
+def stored(model, name: str):
+    """The model as saved and loaded again: without its training summary, which ties it to the fitting session."""
+    path = shared_folder(SparkSession.active(), name)
+    model.write().save(path)
+    return type(model).load(path)
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -106,6 +113,7 @@ def theft_classifier(
     model = RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed
     ).fit(train.withColumn("weight", weight))
+    model = stored(model, "forest")
     scored = model.transform(assembled.where("NOT is_train")).withColumn("supervised", vector_to_array("probability")[1])
     return model, scored.drop("rawPrediction", "probability", "prediction"), train
 
@@ -139,6 +147,7 @@ def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], l
     # the penalty of a sum of losses, 1 / (2 C), becomes 1 / (C n) for MLlib's mean loss
     n = max(1, train.count())
     model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), maxIter=100).fit(train)
+    model = stored(model, "meta-model")
 
     def raw(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("_p", vector_to_array("probability")[1])

@@ -26,21 +26,22 @@ def hourly_profile(readings: DataFrame, meters: DataFrame, start: str, end: str)
     return slots.join(meters.where("active").select("meter_id", "tariff_category", "consumer_type"), "meter_id")
 
 
-def normalised(vector: Column) -> Column:
-    """Z-scores within one array (population deviation); a constant array becomes zeros."""
-    n = F.size(vector).cast("double")
-    mean = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return F.transform(vector, lambda x: F.when(var > 0, (x - mean) / F.sqrt(var)).otherwise(F.lit(0.0)))
-
-
 def profile_vectors(profile: DataFrame) -> DataFrame:
-    """24-slot day shape per meter: mean by hour of day, absent hours 0, then normalised."""
-    h = F.hour("hour_slot")
-    cells = [F.coalesce(F.avg(F.when(h == i, F.col("avg_kwh"))), F.lit(0.0)) for i in range(24)]
-    return profile.groupBy("meter_id").agg(F.array(*cells).alias("raw")).select(
-        "meter_id", normalised(F.col("raw")).alias("profile")
+    """24-slot day shape per meter: mean by hour of day, absent hours 0, then z-scores within the meter
+    (population deviation; a constant shape becomes zeros).
+
+    Mean and deviation come from sums in the same aggregate as the slots, so they stay two columns in the plan
+    instead of being repeated inside every slot's expression.
+    """
+    slots = profile.groupBy("meter_id", F.hour("hour_slot").alias("h")).agg(F.avg("avg_kwh").alias("x"))
+    cells = [F.coalesce(F.max(F.when(F.col("h") == i, F.col("x"))), F.lit(0.0)).alias(f"c{i}") for i in range(24)]
+    rows = slots.groupBy("meter_id").agg(
+        *cells, (F.sum("x") / 24).alias("_m"), (F.sum(F.col("x") * F.col("x")) / 24).alias("_q")
     )
+    var = F.col("_q") - F.col("_m") * F.col("_m")
+    # what subtraction leaves of a constant shape is rounding noise
+    z = [F.when(var > 1e-12 * F.col("_q"), (F.col(f"c{i}") - F.col("_m")) / F.sqrt(F.abs(var))).otherwise(0.0) for i in range(24)]
+    return rows.select("meter_id", F.array(*z).alias("profile"))
 
 
 def landmarks(profiles: DataFrame, count: int) -> Column:
@@ -116,17 +117,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
 MAX_GROUPS = 40
 
 
-def nearest_centroid(profiles: DataFrame, centres: DataFrame, label: str, vector: str) -> DataFrame:
-    """Closest centroid per row. The centroids (at most MAX_GROUPS) are one scalar array: no pairs are made."""
+def with_centroids(profiles: DataFrame, centres: DataFrame, label: str, out: str) -> DataFrame:
+    """Every row with the array of all centroids; more than MAX_GROUPS of them is an error, so the array is bounded."""
     few = centres.groupBy().agg(F.slice(F.sort_array(F.collect_list(F.struct(label, "centroid"))), 1, MAX_GROUPS + 1))
-    checked = few.scalar()
+    rows = profiles.withColumn(out, few.scalar())
+    return rows.where(F.when(F.size(out) <= MAX_GROUPS, F.lit(True)).otherwise(F.raise_error(F.lit("too many centroids"))))
+
+
+def centroid_distances(profiles: DataFrame, centres: DataFrame, label: str, vector: str) -> DataFrame:
+    rows = with_centroids(profiles, centres, label, "_all").withColumn("_c", F.explode("_all"))
+    return rows.select("meter_id", F.col("_c")[label].alias("cluster"), euclidean(F.col(vector), F.col("_c.centroid")).alias("distance"))
+
+
+def nearest_centroid(profiles: DataFrame, centres: DataFrame, label: str, vector: str) -> DataFrame:
+    """Closest centroid per row, found inside the row: no pairs are made."""
     scored = F.transform(
         F.col("_all"), lambda c: F.struct(euclidean(F.col(vector), c["centroid"]).alias("distance"), c[label].alias("cluster"))
     )
-    rows = profiles.withColumn("_all", checked).withColumn(
-        "_near",
-        F.when(F.size("_all") <= MAX_GROUPS, F.array_min(scored)).otherwise(F.raise_error(F.lit("too many centroids"))),
-    )
+    rows = with_centroids(profiles, centres, label, "_all").withColumn("_near", F.array_min(scored))
     return rows.withColumns({"cluster": F.col("_near.cluster"), "distance": F.col("_near.distance")}).drop("_near", "_all")
 
 

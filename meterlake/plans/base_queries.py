@@ -189,7 +189,7 @@ def _(v):
     FILLED,
 )
 def _(v):
-    return clean.impute(v.grid, v.meters)
+    return clean.impute(v.grid, v.meters, observed=v.hourly)
 
 
 @query(
@@ -259,8 +259,8 @@ B8["hidden"] = (
 )
 def _(v):
     hidden = clean.drop_values(v.grid)
-    truth = hidden.where(F.col("kwh").isNull() & F.col("kwh_true").isNotNull()).select("meter_id", "hour_ts", "kwh_true")
-    filled = clean.impute(hidden, v.meters).join(truth, ["meter_id", "hour_ts"])
+    truth = hidden.where(F.col("kwh").isNull() & F.col("kwh_true").isNotNull()).select("meter_id", "hour_ts")
+    filled = clean.impute(hidden, v.meters, observed=clean.drop_values(v.hourly)).join(truth, ["meter_id", "hour_ts"])
     return filled.groupBy("imputation_stage").agg(
         F.count(F.lit(1)).alias("slots"), F.avg(F.abs(F.col("kwh") - F.col("kwh_true"))).alias("mean_abs_error")
     )

@@ -248,7 +248,7 @@ SHAP = {
 
 @query(
     "n16_feature_contributions",
-    "alert_id:i place:i feature value:d shap_value:d direction",
+    "alert_id:i place:i feature value:d shap_value:d9 direction",
     "SELECT *, CASE WHEN shap_value > 0 THEN 'increased' ELSE 'decreased' END AS direction FROM shap WHERE place <= 3",
     "shap",
     SHAP,

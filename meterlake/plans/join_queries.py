@@ -179,7 +179,7 @@ def _(v):
     au = joins.listed(
         v.audits,
         ["related_alert_id"],
-        F.date_trunc("month", "action_timestamp"),
+        F.struct("action_timestamp", "step"),
         ["action_timestamp", "step", "part_id", "inspector_id"],
         F.col("outcome"),
         size=5,

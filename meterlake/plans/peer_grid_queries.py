@@ -8,6 +8,7 @@ from meterlake.operators import grid, joins, peers, rollup
 from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, HOUR_COLS, PIVOT_SQL, current_topology, daily
 from meterlake.plans.rollup_queries import REPORT, loads, zones
+from meterlake.sources.storage import settle
 
 START, END = "2024-01-01", "2024-01-31"
 H24 = range(24)
@@ -84,17 +85,14 @@ def _(v):
 )
 def _(v):
     centres = peers.centroids(v.profiles, "reference_cluster", "profile")
-    few = centres.groupBy().agg(F.collect_list(F.struct("reference_cluster", "centroid"))).scalar()  # ten labels
-    rows = v.profiles.withColumn("_c", F.explode(few)).select(
-        "meter_id", F.col("_c.reference_cluster").alias("cluster"), peers.euclidean(F.col("profile"), F.col("_c.centroid")).alias("distance")
-    )
-    return peers.affinities(rows)
+    rows = peers.centroid_distances(v.profiles, centres, "reference_cluster", "profile")
+    return peers.affinities(settle(rows, "distances"))
 
 
 @query("h5_affinity_groups", "meter_id:i cluster:i")
 def _(v):
     d = peers.landmark_distances(peers.profile_vectors(profile_rows(v)), 16)
-    return peers.group_by_affinity(peers.affinities(d), 5)
+    return peers.group_by_affinity(peers.affinities(settle(d, "distances")), 5)
 
 
 @query("h6_group_count_sweep", "k:i silhouette:d best:b")

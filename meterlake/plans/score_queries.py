@@ -286,7 +286,7 @@ def audit_log(v):
 
 
 def chained(v):
-    return audit.chain(audit_log(v), "alert_id", F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], "payload")
+    return audit.chain(audit_log(v), "alert_id", F.struct("action_timestamp", "step"), ["action_timestamp", "step", "part_id", "inspector_id"], "payload")
 
 
 def _recursive(tail: str) -> str:
@@ -324,7 +324,7 @@ def _(v):
     from meterlake.functions.scaling import running
 
     return running(
-        audit_log(v), ["alert_id"], F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], number="position"
+        audit_log(v), ["alert_id"], F.struct("action_timestamp", "step"), ["action_timestamp", "step", "part_id", "inspector_id"], number="position"
     )
 
 
@@ -345,7 +345,7 @@ def _(v):
     log = v.audits.withColumnRenamed("related_alert_id", "alert_id").withColumn(
         "state", F.when(F.col("outcome") == "Fail", "Assigned").when(F.col("outcome") == "Pass", "Resolved").otherwise("Snoozed")
     )
-    return audit.transitions(log, "alert_id", F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], "state")
+    return audit.transitions(log, "alert_id", F.struct("action_timestamp", "step"), ["action_timestamp", "step", "part_id", "inspector_id"], "state")
 
 
 @query("k5_training_labels", "alert_id:i anomaly_score:d label:i", "SELECT alert_id, anomaly_score, label FROM labelled", "labelled", LABELLED)

@@ -48,7 +48,7 @@ def _(v):
     "readings",
 )
 def _(v):
-    return features.range_mean(v.readings, "kwh", 6 * 3600, 24 * 3600)
+    return features.range_mean(v.readings, "kwh", 6 * 3600)
 
 
 NIGHT = "(hour(hour_ts) >= 22 OR hour(hour_ts) < 6)"
@@ -215,7 +215,7 @@ def _(v):
 )
 def _(v):
     rows = v.grid.select("meter_id", "hour_ts", F.col("kwh").isNull().alias("is_missing"))
-    return features.runs(rows, ["meter_id"], F.date_trunc("day", "hour_ts"), ["hour_ts"], "is_missing")
+    return features.runs(rows, ["meter_id"], ["hour_ts"], "is_missing")
 
 
 RANKING = {
@@ -243,3 +243,16 @@ def _(v):
     from meterlake.plans.reports import suspicious_meters
 
     return suspicious_meters(v.hourly, v.meters, 50)
+
+
+@query(
+    "e16_failure_runs",
+    "meter_id:i failed:b run_start:s run_end:s run_length:i",
+    """SELECT meter_id, failed, min(timestamp) AS run_start, max(timestamp) AS run_end, count(*) AS run_length FROM (
+    SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY timestamp, reading_id) - row_number() OVER (PARTITION BY meter_id, failed ORDER BY timestamp, reading_id) AS g FROM (
+    SELECT meter_id, reading_id, timestamp, communication_status = 2 AS failed FROM readings)) GROUP BY meter_id, failed, g""",
+    "readings",
+)
+def _(v):
+    rows = v.readings.select("meter_id", "reading_id", "timestamp", (F.col("communication_status") == 2).alias("failed"))
+    return features.runs(rows, ["meter_id"], ["timestamp", "reading_id"], "failed", F.date_trunc("hour", "timestamp"))

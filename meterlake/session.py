@@ -26,6 +26,9 @@ def get_session(app: str = "meterlake", master: str | None = None, shuffle_parti
         builder = builder.master(master)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if master and master.startswith("local"):
+        # one JVM holds driver and tasks; the setting counts only before that JVM starts
+        builder = builder.config("spark.driver.memory", os.environ.get("METERLAKE_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

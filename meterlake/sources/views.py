@@ -81,11 +81,11 @@ class Views:
 
     @cached_property
     def register(self) -> DataFrame:
-        """Readings with the cumulative register, a running sum cut by day so that no meter fills one task."""
+        """Readings with the cumulative register, a running sum cut by hour so that no meter fills one task."""
         return running(
             self.readings,
             ["meter_id"],
-            F.date_trunc("day", "timestamp"),
+            F.date_trunc("hour", "timestamp"),
             ["timestamp", "reading_id"],
             sums={"cumulative_kwh": "register_step"},
         )
