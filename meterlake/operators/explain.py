@@ -52,7 +52,8 @@ def enough_support(days: Column, baseline: Column) -> Column:
 
 def decision(measured: DataFrame, least_drop: float = 0.20, unexplained_limit: float = 0.15) -> DataFrame:
     """Escalate or suppress, from the drop and the part of it that known causes explain."""
-    drop, explained = F.col("drop_fraction"), F.coalesce("explained_fraction", F.lit(0.0))
+    have = "explained_fraction" in measured.columns
+    drop, explained = F.col("drop_fraction"), F.coalesce("explained_fraction", F.lit(0.0)) if have else F.lit(0.0)
     gate = enough_support(F.col("days"), F.col("baseline_mean"))
     open_part = F.greatest(F.lit(0.0), 1 - explained)
     small = drop < least_drop

@@ -11,19 +11,12 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.kernels import Changepoints, forest_scores, grow_tree
 from meterlake.operators import forecast
-from meterlake.sources.storage import settle, shared_folder
-
-
-def stored(model, name: str):
-    """The model as saved and loaded again: without its training summary, which ties it to the fitting session."""
-    path = shared_folder(SparkSession.active(), name)
-    model.write().save(path)
-    return type(model).load(path)
+from meterlake.sources.storage import settle, stored
 
 
 # ---------------------------------------------------------------- isolation forest

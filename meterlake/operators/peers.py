@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.kernels import dtw
 from meterlake.functions.scaling import quantiles
-from meterlake.sources.storage import settle
+from meterlake.sources.storage import settle, stored
 
 
 def hourly_profile(readings: DataFrame, meters: DataFrame, start: str, end: str) -> DataFrame:
@@ -72,15 +72,21 @@ def affinities(distances: DataFrame) -> DataFrame:
     return distances.withColumn("affinity", F.exp(-d * d / (2 * sigma * sigma)))
 
 
-def group_by_affinity(edges: DataFrame, groups: int, steps: int = 15) -> DataFrame:
-    """Power iteration clustering on the meter-landmark graph, whose size is meters times landmarks."""
-    e = edges.where(F.col("meter_id") != F.col("landmark_id")).select(
-        F.col("meter_id").alias("src"), F.col("landmark_id").alias("dst"), F.col("affinity").alias("weight")
-    )
-    # a landmark pair appears from both ends: keep one
-    e = e.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
-    model = PowerIterationClustering(k=groups, maxIter=steps, srcCol="src", dstCol="dst", weightCol="weight")
-    return model.assignClusters(settle(e, "affinity")).select(F.col("id").alias("meter_id"), "cluster")
+def group_by_affinity(affinity: DataFrame, groups: int, seed: int = 42) -> DataFrame:
+    """Spectral grouping by landmarks (Chen and Cai 2011): each meter is its row of affinities to the landmarks.
+
+    Rows are scaled to sum 1 and columns by the root of their sum; the main components of that meter-landmark
+    matrix are clustered. Everything is linear in meters; a row has as many entries as there are landmarks.
+    """
+    total = affinity.groupBy("meter_id").agg(F.sum("affinity").alias("_r"))
+    cells = affinity.join(total, "meter_id").select("meter_id", "landmark_id", (F.col("affinity") / F.col("_r")).alias("z"))
+    column = cells.groupBy("landmark_id").agg(F.sum("z").alias("_c"))
+    cells = cells.join(column, "landmark_id").withColumn("z", F.col("z") / F.sqrt("_c"))
+    rows = cells.groupBy("meter_id").agg(F.sort_array(F.collect_list(F.struct("landmark_id", "z"))).alias("_z"))
+    rows = settle(rows.select("meter_id", array_to_vector(F.transform("_z", lambda c: c["z"])).alias("_v")), "affinity")
+    main = stored(PCA(k=groups, inputCol="_v", outputCol="_u").fit(rows), "components").transform(rows)
+    model = stored(KMeans(k=groups, seed=seed, featuresCol="_u", predictionCol="cluster").fit(main), "groups")
+    return model.transform(main).select("meter_id", "cluster")
 
 
 def group_count_sweep(profiles: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
@@ -89,7 +95,7 @@ def group_count_sweep(profiles: DataFrame, ks: list[int], seed: int = 42) -> Dat
     score = ClusteringEvaluator()
     found = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
+        model = stored(KMeans(k=k, seed=seed, maxIter=20).fit(rows), "sweep")
         found.append((k, float(score.evaluate(model.transform(rows)))))
     best = max(found, key=lambda r: (r[1], -r[0]))[0]
     return profiles.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, best boolean")

@@ -34,6 +34,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(model, name: str):
+    """A fitted model as saved and loaded again: without its training summary, which ties it to the fitting session."""
+    path = shared_folder(SparkSession.active(), name)
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def scan_range(df: DataFrame, column: str, start: str, end: str, look_back: str = "0 days") -> DataFrame:
     """Rows with ``start - look_back <= column < end``; the filter reaches the Parquet scan."""
     low = F.lit(start).cast("timestamp") - F.expr(f"INTERVAL {look_back}")
