@@ -24,7 +24,7 @@ START, END = "2024-01-10", "2024-01-12"
 )
 def _(v):
     # read the look-back as well, compute, then trim to the asked range
-    rows = S.scan_range(v.hourly, "hour_ts", START, END, "7 days").select("meter_id", "hour_ts", "kwh")
+    rows = v.between(START, END, "7 days").hourly.select("meter_id", "hour_ts", "kwh")
     old = rows.select("meter_id", (F.col("hour_ts") + F.expr("INTERVAL 7 DAYS")).alias("hour_ts"), F.col("kwh").alias("kwh_week_ago"))
     return S.trim_range(rows, "hour_ts", START, END).join(old, ["meter_id", "hour_ts"], "left")
 
@@ -46,7 +46,7 @@ def _(v):
     "feeder_readings",
 )
 def _(v):
-    return S.scan_range(v.feeder_readings, "timestamp", START, END)
+    return v.between(START, END).feeder_readings
 
 
 CSV_SCHEMA = T.StructType(
@@ -116,7 +116,7 @@ def _(v):
     S.append_by_date(rows, path)
     # a second run of the last day replaces that day only
     S.overwrite_dates(rows.where(F.col("date") == F.lit("2024-01-30").cast("date")), path)
-    back = v.spark.read.parquet(path)
+    back = S.read_dates(v.spark, path, "timestamp", "2024-01-01", "2024-02-01")
     return back.groupBy("date").agg(F.count(F.lit(1)).alias("readings"), F.sum("kwh").alias("kwh"))
 
 

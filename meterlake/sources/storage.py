@@ -41,16 +41,18 @@ def stored(model, name: str):
     return type(model).load(path)
 
 
-def scan_range(df: DataFrame, column: str, start: str, end: str, look_back: str = "0 days") -> DataFrame:
-    """Rows with ``start - look_back <= column < end``; the filter reaches the Parquet scan."""
-    low = F.lit(start).cast("timestamp") - F.expr(f"INTERVAL {look_back}")
-    return df.where((F.col(column) >= low) & (F.col(column) < F.lit(end).cast("timestamp")))
-
-
 def trim_range(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
+    """Rows with start <= column < end, after windows have used what lies before."""
     return df.where((F.col(column) >= F.lit(start).cast("timestamp")) & (F.col(column) < F.lit(end).cast("timestamp")))
 
 
+def read_dates(spark: SparkSession, path: str, column: str, start: str, end: str, date_column: str = "date") -> DataFrame:
+    """A date-partitioned table over [start, end): the date filter prunes folders, the time filter prunes row groups."""
+    low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    rows = spark.read.parquet(path).where(F.col(date_column).between(low.cast("date"), high.cast("date")))
+    return rows.where((F.col(column) >= low) & (F.col(column) < high))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with header and declared schema; a missing path gives no rows. A byte-order mark is skipped by Spark."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,12 +25,22 @@ CALENDAR = [
 
 
 class Views:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, span: tuple[str, str, str] | None = None):
         self.spark = spark
         self.folder = folder
+        self.span = span
+
+    def between(self, start: str, end: str, look_back: str = "0 days") -> Views:
+        """The same views over readings in [start - look_back, end) only; the range reaches the Parquet scan."""
+        return type(self)(self.spark, self.folder, (start, end, look_back))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name == "events" and self.span:
+            start, end, back = self.span
+            low = F.lit(start).cast("timestamp_ntz") - F.expr(f"INTERVAL {back}")
+            df = df.where((F.col("ts") >= low) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        return df
 
     @cached_property
     def _places(self) -> DataFrame:
