@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.scaling import neighbours, running
 
 GENESIS = "genesis"
-SEGMENT_ROWS = 1000
+SEGMENT_ROWS = 200
 
 # States an alert may move to
 ALLOWED_MOVES = {
