@@ -223,7 +223,7 @@ def _(v):
 
 @query(
     "n15_zone_risk",
-    "zone forecast_date:s week_mean:d8 capacity_share:d8 risk",
+    "zone forecast_date:s week_mean:d10 capacity_share:d10 risk",
     """SELECT *, CASE WHEN capacity_share > 0.95 THEN 'Critical' WHEN capacity_share > 0.8 OR forecast_mw > 1.15E0 * week_mean THEN 'High'
     WHEN p90_mw - p10_mw > 0.2E0 * forecast_mw AND forecast_mw > before THEN 'Medium' ELSE 'Normal' END AS risk FROM (
     SELECT f.*, avg(actual_mw) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS week_mean, lag(forecast_mw) OVER w AS before, forecast_mw / cap AS capacity_share

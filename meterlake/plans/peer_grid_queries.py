@@ -342,7 +342,7 @@ def _(v):
 
 @query(
     "j9_zone_polygons",
-    "zone risk corner:i lon:d lat:d",
+    "zone risk corner:i lon:d9 lat:d9",
     f"""SELECT zone, risk, unnest(range(5)) AS corner, unnest([lon - 0.018, lon + 0.018, lon + 0.018, lon - 0.018, lon - 0.018]) AS lon,
     unnest([lat - 0.018, lat - 0.018, lat + 0.018, lat + 0.018, lat - 0.018]) AS lat FROM zones""",
     "zones",

@@ -174,7 +174,7 @@ def _(v):
     return rollup.precision_at_50(v.model_perf, v.feedback)
 
 
-ZONE_COLS = "zone risk open_alerts:i loss_pct:d feeder_loss_pct:d load_pct:d meter_count:i feeder_count:i lat:d lon:d"
+ZONE_COLS = "zone risk open_alerts:i loss_pct:d9 feeder_loss_pct:d load_pct:d meter_count:i feeder_count:i lat:d9 lon:d9"
 
 
 @query("f10_zone_summary", ZONE_COLS, "SELECT * FROM zones", "zones", REPORT)
