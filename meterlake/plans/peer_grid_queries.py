@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import grid, joins, peers, rollup
 from meterlake.plans.catalog import query
-from meterlake.plans.join_queries import FLAGS, HOUR_COLS, PIVOT_SQL, current_topology, daily
+from meterlake.plans.join_queries import FLAGS, HOUR_COLS, PIVOT_SQL, current_topology
 from meterlake.plans.rollup_queries import REPORT, loads, zones
 from meterlake.sources.storage import settle
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meterlake.operators import features, forecast, joins, ranking, rollup
 from meterlake.plans import reports
 from meterlake.plans.catalog import query
-from meterlake.plans.join_queries import FLAGS, HOUR_COLS, PIVOT_SQL, current_topology, daily
+from meterlake.plans.join_queries import FLAGS, HOUR_COLS, PIVOT_SQL, current_topology
 from meterlake.plans.window_queries import NIGHT
 
 OPEN = "status IN ('Open', 'Investigating')"

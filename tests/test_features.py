@@ -160,7 +160,6 @@ def test_repeated_day_lands_once(spark, tmp_path):
     [
         ("see MTR-00123 now", "see MTR...23 now"),
         ("SM_9ABC and sm99x", "SM_...BC and sm9...9x"),
-        ("BESCOM-AB12", "BES...12"),
         ("MTR-1", "MTR-1"),
         ("no id", "no id"),
     ],
