@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat, decontam, langid, packing, pii, quality, simhash, toxicity, warc
+from meterlake.llm import chat, decontam, langid, packing, pii, quality, simhash, substring, toxicity, warc
 from meterlake.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@_query
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.passages(table(spark, folder, "documents"))
+
+
 @_query
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))

@@ -39,7 +39,10 @@ def core(token: str) -> str:
 
 
 def _features(word: str) -> list[str]:
-    """The whole word and its beginnings of 3 to 7 characters, for inflected and compound words."""
+    """The whole word and its beginnings of 3 to 7 characters, for inflected and compound words.
+
+    A seventh feature, the empty one, belongs to every token.
+    """
     return ["=" + word, *(word[:k] for k in range(3, min(len(word), 7) + 1))]
 
 
@@ -156,18 +159,18 @@ def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed:
             (hot if any(labels) else cold).append((tokens[a:b], labels))
     cold = [cold[i] for i in rng.permutation(len(cold))[: max(2000, 3 * len(hot))]]
     sample = [(hot + cold)[i] for i in rng.permutation(len(hot) + len(cold))]
-    place = {f: i + 1 for i, f in enumerate(sorted(known))}  # 0: none
+    place = {"": 1} | {f: i + 2 for i, f in enumerate(sorted(known))}  # 0: none
     unary, step = np.zeros(len(place) + 1), np.zeros((2, 2))
     g_unary, g_step = np.full(len(unary), 1e-6), np.full((2, 2), 1e-6)
     batches = []
     for i in range(0, len(sample) if marks else 0, 256):
         part = sample[i : i + 256]
         length = np.array([len(x) for x, _ in part])
-        feats = np.zeros((len(part), int(length.max()), 6), np.int32)
+        feats = np.zeros((len(part), int(length.max()), 7), np.int32)
         want = np.zeros(feats.shape[:2])
         for r, (tokens, labels) in enumerate(part):
             for k, t in enumerate(tokens):
-                for n, f in enumerate(_features(core(t))):
+                for n, f in enumerate(["", *_features(core(t))]):
                     feats[r, k, n] = place.get(f, 0)
             want[r, : len(labels)] = labels
         batches.append((feats, want, length))
@@ -176,7 +179,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed:
             inside = np.arange(want.shape[1]) < length[:, None]
             _, one, pair = marginals(unary[feats].sum(2), length, step)
             error = (one - want) * inside
-            grad = np.bincount(feats.ravel(), np.repeat(error.ravel(), 6), len(unary)) / len(length) + 1e-4 * unary
+            grad = np.bincount(feats.ravel(), np.repeat(error.ravel(), 7), len(unary)) / len(length) + 1e-4 * unary
             grad[0] = 0
             a, b, on = want[:, :-1], want[:, 1:], inside[:, 1:]
             seen = np.array([[((1 - a) * (1 - b) * on).sum(), ((1 - a) * b * on).sum()], [(a * (1 - b) * on).sum(), (a * b * on).sum()]])
@@ -219,11 +222,12 @@ class _Memo(dict):
     def __init__(self, unary: dict[str, float]):
         super().__init__()
         self.weight = unary.get
-        self.starts = {f[:3] for f in unary if f[0] != "="}
+        self.common = unary.get("", 0.0)
+        self.starts = {f[:3] for f in unary if f[:1] not in ("", "=")}
 
     def __missing__(self, token: str) -> float:
         word = core(token)
-        got = self.weight("=" + word, 0.0)
+        got = self.common + self.weight("=" + word, 0.0)
         if word[:3] in self.starts:
             got += sum(self.weight(word[:k], 0.0) for k in range(3, min(len(word), 7) + 1))
         got = min(100.0, max(-100.0, got)) + self.ENDS * (token[-1] in ".!?")
