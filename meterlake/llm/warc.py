@@ -95,7 +95,7 @@ def read_archives(spark, path: str) -> DataFrame:
     Archives are read as text that ends at two line ends, a stream per file; a payload that holds two line ends
     itself comes in several rows. They are joined again and cut by Content-Length, and payloads must fit their digest.
     """
-    lines = spark.read.option("lineSep", "\r\n\r\n").text(path).select("value", F.input_file_name().alias("file"))
+    lines = spark.read.option("lineSep", "\r\n\r\n").text(path).select("value")
     return lines.mapInArrow(_parsed, "record_id string, type string, refers_to string, uri string, digest string, payload_bytes bigint, payload string")
 
 
@@ -112,6 +112,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stream += value.encode() + end  # the bytes of the archive again
             while True:
                 if head is None:
+                    del stream[: len(stream) - len(stream.lstrip(b"\r\n"))]  # line ends too many, at the end of a file
                     cut = stream.find(end)
                     if cut < 0:
                         break
@@ -131,7 +132,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = None
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-    if head is not None or stream:
+    if head is not None or stream.strip(b"\r\n"):
         raise ValueError("an archive ends within a record")
 
 
