@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.llm.common import by_block, passes, sieve
+from meterlake.sources.storage import settle
 
 WINDOW = 8
 #: Share of an item's windows that a document must have, with slots that agree.
@@ -177,7 +178,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
         yield from _window_rows(width, shared.value)(batches)
 
     found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, ROWS)
-    hits = found.select(F.col("id").alias("doc_id"), "hash", "slots").join(items, "hash")
+    found = settle(found.select(F.col("id").alias("doc_id"), "hash", "slots"), "windows")  # used twice
+    hits = found.join(items, "hash")
     pairs = hits.select("doc_id", "item_id", "hash", F.explode_outer(F.arrays_zip("own", "slots")).alias("s"))
     pairs = pairs.select("doc_id", "item_id", "hash", F.col("s.own").alias("own"), F.col("s.slots").alias("new"))
     # votes for what replaces each filling; the one most often seen is the mapping

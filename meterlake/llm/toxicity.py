@@ -210,7 +210,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
 
 def summary(m: np.ndarray) -> list[float]:
     """Of the token marginals of a document: largest, log of their sum, share."""
-    m = np.where(m > 0.02, m, 0.0)
+    m = np.where(m >= 0.3, m, 0.0)  # else the many small ones of a long text would add up
     return [float(m.max()), float(np.log1p(m.sum())), float(m.mean())] if len(m) else [0.0, 0.0, 0.0]
 
 
