@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import by_block, hashed_order
 
 #: Labelled documents that the fit uses at most (half of them toxic), and the characters it takes of each.
-FIT_DOCS = 4000
-FIT_CHARS = 4000
+FIT_DOCS = 2400
+FIT_CHARS = 3000
 #: Longest chain in tokens; a longer sentence is cut into several.
 CHAIN = 64
 THRESHOLD = 0.7
@@ -105,24 +105,29 @@ def _marks(docs: list[tuple[list[str], int]]) -> tuple[set[str], set[str]]:
     where one longer feature accounts for nearly all of it with fewer clean texts.
     """
     seen: Counter[str] = Counter()
+    cores = {t: core(t) for t in {t for tokens, _ in docs for t in tokens}}
     for tokens, y in docs:
         if y:
-            seen.update({f for w in {core(t) for t in tokens} for f in _features(w)})
+            seen.update({f for w in {cores[t] for t in tokens} for f in _features(w)})
     known = {f for f, n in seen.items() if n >= 3}
     tested = max(len(seen), 1)
     del seen
+    of = {w: [f for f in _features(w) if f in known] for w in set(cores.values())}
     around: tuple[dict[str, set[int]], ...] = (defaultdict(set), defaultdict(set))
     weight = [set(), set()]
     for tokens, y in docs:
-        words = [core(t) for t in tokens]
+        words = [cores[t] for t in tokens]
         weight[y].add(zlib.crc32(" ".join(words[:20]).encode()))
         done: set[str] = set()
+        met: set[str] = set()
         for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-            if new := [f for f in _features(w) if f in known and f not in done]:
-                place = zlib.crc32(f"{before} {after}".encode())
-                done.update(new)
-                for f in new:
-                    around[y][f].add(place)
+            if w not in met:
+                met.add(w)
+                if new := [f for f in of[w] if f not in done]:
+                    place = zlib.crc32(f"{before} {after}".encode())
+                    done.update(new)
+                    for f in new:
+                        around[y][f].add(place)
     toxic, clean = ({f: len(p) for f, p in x.items()} for x in (around[1], around[0]))
     share = len(weight[1]) / max(1, len(weight[0]) + len(weight[1]))
     bar = math.log(tested) + 4.6  # one false mark in a hundred fits
@@ -144,7 +149,7 @@ def _marks(docs: list[tuple[list[str], int]]) -> tuple[set[str], set[str]]:
     return marks, marks | {f for f in known if f[0] == "="}
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed: int = 3) -> Model:
+def fit(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 0.3, seed: int = 3) -> Model:
     """A model from (text, toxic 0/1) pairs. Tokens are labelled from the documents: those of a toxic text that have a
     mark. Without any mark the unary weights stay 0 and the base rate remains.
     """
@@ -152,14 +157,19 @@ def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed:
     marks, known = _marks(docs)
     rng = np.random.default_rng(seed)
     hot, cold = [], []
+    marked = {t for tokens, y in docs if y for t in tokens if not marks.isdisjoint(_features(core(t)))}
     for tokens, y in docs:
         starts = [*chains(tokens), len(tokens)]
         for a, b in zip(starts, starts[1:]):
-            labels = [int(y and not marks.isdisjoint(_features(core(t)))) for t in tokens[a:b]]
+            labels = [int(y and t in marked) for t in tokens[a:b]]
             (hot if any(labels) else cold).append((tokens[a:b], labels))
-    cold = [cold[i] for i in rng.permutation(len(cold))[: max(2000, 3 * len(hot))]]
+    cold = [cold[i] for i in rng.permutation(len(cold))[: max(2000, 2 * len(hot))]]
     sample = [(hot + cold)[i] for i in rng.permutation(len(hot) + len(cold))]
     place = {"": 1} | {f: i + 2 for i, f in enumerate(sorted(known))}  # 0: none
+    ids: dict[str, list[int]] = {}
+    for t in {t for tokens, _ in sample for t in tokens}:
+        own = [place.get(f, 0) for f in ["", *_features(core(t))]]
+        ids[t] = own + [0] * (7 - len(own))
     unary, step = np.zeros(len(place) + 1), np.zeros((2, 2))
     g_unary, g_step = np.full(len(unary), 1e-6), np.full((2, 2), 1e-6)
     batches = []
@@ -169,9 +179,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed:
         feats = np.zeros((len(part), int(length.max()), 7), np.int32)
         want = np.zeros(feats.shape[:2])
         for r, (tokens, labels) in enumerate(part):
-            for k, t in enumerate(tokens):
-                for n, f in enumerate(["", *_features(core(t))]):
-                    feats[r, k, n] = place.get(f, 0)
+            feats[r, : len(tokens)] = [ids[t] for t in tokens]
             want[r, : len(labels)] = labels
         batches.append((feats, want, length))
     for _ in range(epochs):
