@@ -33,6 +33,9 @@ class Changepoints:
         self.hazard, self.limit, self.longest, self.recent = 1.0 / expected_run, limit, longest, recent
         # Prior shape, scale, weight and mean
         self.prior = (0.1, 0.01, 1.0, 0.0)
+        # the shape depends on the run length alone, so the constant of the predictive density is a table
+        shapes = self.prior[0] + 0.5 * np.arange(longest + 1)
+        self.norm = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in shapes.tolist()])
 
     def start(self) -> tuple[int, bool, np.ndarray]:
         a, b, k, m = self.prior
@@ -44,8 +47,7 @@ class Changepoints:
         p, alpha, beta, kappa, mu = table.T
         scale2 = beta * (kappa + 1) / (alpha * kappa)
         df = 2 * alpha
-        norm = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in df])
-        log_pdf = norm - 0.5 * np.log(df * math.pi * scale2) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * scale2))
+        log_pdf = self.norm[: len(p)] - 0.5 * np.log(df * math.pi * scale2) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * scale2))
         weight = p * np.exp(log_pdf - log_pdf.max())
         grown = weight * (1 - self.hazard)
         fresh = weight.sum() * self.hazard

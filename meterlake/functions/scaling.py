@@ -17,6 +17,15 @@ def _order(columns: Sequence[str], descending: bool = False) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key; the keys of the left side stay."""
+    if not keys:
+        raise ValueError("a join needs keys")
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,7 +38,8 @@ def running(
 ) -> DataFrame:
     """Row number and running sums per key, exact for keys of any size.
 
-    ``bucket`` must not decrease along ``order``. Sums include the current row and skip nulls.
+    ``bucket`` must not decrease along ``order``. Sums include the current row and skip nulls. Null keys are a key,
+    null order values come first (last if descending), as in a plain window.
     """
     sums = sums or {}
     cut = df.withColumn("_b", bucket)
@@ -52,7 +62,7 @@ def running(
     for i, (name, c) in enumerate(sums.items()):
         made[name] = F.col(f"_o{i}") + F.coalesce(F.sum(c).over(frame), F.lit(0))
     drop = ["_b", "_n0"] + [f"_o{i}" for i in range(len(sums))]
-    return cut.join(offsets, [*keys, "_b"]).withColumns(made).drop(*drop)
+    return join_null_safe(cut, offsets, [*keys, "_b"]).withColumns(made).drop(*drop)
 
 
 def neighbours(
@@ -64,7 +74,7 @@ def neighbours(
     *,
     following: bool = False,
 ) -> DataFrame:
-    """``prev_<c>`` (and ``next_<c>``) of each row along ``order`` within a key."""
+    """``prev_<c>`` (and ``next_<c>``) of each row along ``order`` within a key; nulls as in a plain window."""
     cut = df.withColumn("_b", bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     along = Window.partitionBy(*keys).orderBy("_b")
@@ -74,7 +84,7 @@ def neighbours(
     edges = edges.select(
         *keys, "_b", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after")
     )
-    out = cut.join(edges, [*keys, "_b"])
+    out = join_null_safe(cut, edges, [*keys, "_b"])
     made = {"_p": F.coalesce(F.lag(row).over(inside), F.col("_before"))}
     if following:
         made["_q"] = F.coalesce(F.lead(row).over(inside), F.col("_after"))
@@ -90,29 +100,51 @@ def value_bucket(edges: Column, value: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e < value))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: dict[str, float], cuts: int = 64) -> DataFrame:
-    """Exact interpolated quantiles per key; no group's values meet in one aggregation buffer.
+def _cut_again(rows: DataFrame, keys: Sequence[str], wanted: list[Column], cuts: int) -> DataFrame:
+    """Of each part of each key only the pieces that hold a wanted rank, cut by a sketch of that part.
 
-    A bounded sketch cuts each key's values into about equal buckets; bucket counts say which bucket holds a
-    wanted rank, so values are ordered only inside (key, bucket).
+    Rows have ``_g`` (part), ``_off`` (values before the part) and ``_total``; the pieces get new ones.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    by = [*keys, "_g"]
     marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    edges = counted.groupBy(*keys).agg(
-        F.percentile_approx("_v", marks, 1000).alias("_edges"),
-        F.sum("_c").alias("_total"),
-    )
+    edges = rows.groupBy(*by).agg(F.percentile_approx("_v", marks, 1000).alias("_edges"))
     if keys:
-        joined = counted.join(edges, list(keys))
-    else:
-        both = edges.select(F.struct("_edges", "_total")).scalar()
-        joined = counted.withColumn("_both", both).select("*", "_both._edges", "_both._total").drop("_both")
-    joined = joined.withColumn("_vb", value_bucket(F.col("_edges"), F.col("_v"))).drop("_edges")
-    ranked = running(joined, keys, F.col("_vb"), ["_v"], sums={"_upto": "_c"})
+        cut = join_null_safe(rows, edges, by)
+    else:  # a part is one of a few numbers here: two for each wanted point at most
+        few = edges.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("_g", "_edges")))).scalar()
+        cut = rows.withColumn("_edges", F.try_element_at(few, F.col("_g")))
+    cut = cut.withColumn("_vb", value_bucket(F.col("_edges"), F.col("_v"))).drop("_edges")
+    sizes = cut.groupBy(*by, "_vb").agg(F.sum("_c").alias("_n"), F.max("_off").alias("_o"), F.max("_total").alias("_total"))
+    along = Window.partitionBy(*by).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cuts`` rows
+    sizes = sizes.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_n").over(along), F.lit(0)))
+    holds = F.lit(False)
+    for rank in wanted:
+        holds = holds | ((rank >= F.col("_o")) & (rank < F.col("_o") + F.col("_n")))
+    sizes = sizes.where(holds).select(*by, "_vb", F.col("_o").alias("_new"))
+    kept = join_null_safe(cut, sizes, [*by, "_vb"])
+    return kept.withColumns({"_off": F.col("_new"), "_g": F.col("_g") * cuts + F.col("_vb")}).drop("_new", "_vb")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: dict[str, float], cuts: int = 64, levels: int = 2) -> DataFrame:
+    """Exact interpolated quantiles per key; no group's values meet in one aggregation buffer.
+
+    A bounded sketch cuts each key's values into about equal buckets; bucket counts say which buckets hold a wanted
+    rank, and only those are kept and cut again. What is ordered in the end is about a ``cuts ** levels``-th part of
+    a key for each point. Null keys are a key; null values are left out.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_total"))
+    rows = join_null_safe(counted, totals, list(keys)) if keys else counted.withColumn("_total", totals.scalar())
+    rows = rows.withColumns({"_g": F.lit(0).cast("bigint"), "_off": F.lit(0).cast("bigint")})
+    place = {n: F.lit(p) * (F.col("_total") - 1) for n, p in points.items()}
+    wanted = [f(x) for x in place.values() for f in (F.floor, F.ceil)]
+    for _ in range(levels):
+        rows = _cut_again(rows, keys, wanted, cuts)
+    inside = Window.partitionBy(*keys, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_upto", F.col("_off") + F.sum("_c").over(inside))
     made = []
-    for name, p in points.items():
-        place = F.lit(p) * (F.col("_total") - 1)
-        low, high = F.floor(place), F.ceil(place)
+    for name, at in place.items():
+        low, high = F.floor(at), F.ceil(at)
 
         def holds(rank):
             return (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
@@ -120,7 +152,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: dict[str,
         made += [
             F.max(F.when(holds(low), F.col("_v"))).alias(f"_lo_{name}"),
             F.max(F.when(holds(high), F.col("_v"))).alias(f"_hi_{name}"),
-            F.max(place - low).alias(f"_w_{name}"),
+            F.max(at - low).alias(f"_w_{name}"),
         ]
     agg = ranked.groupBy(*keys).agg(*made)
     return agg.select(
@@ -145,20 +177,20 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str, edges: Seque
     )
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
     if keys:
-        levels = levels.join(totals, list(keys))
+        levels = join_null_safe(levels, totals, list(keys))
     else:
         levels = levels.withColumn("group_rows", totals.scalar())
     levels = levels.select(
         *keys, value, "dense_rank", (F.col("_upto") - F.col("_c") + 1).alias("rank"), "group_rows"
     )
-    out = df.join(levels, [*keys, value])
+    out = join_null_safe(df, levels, [*keys, value])
     within = Window.partitionBy(*keys, value, "_tb").orderBy(tie)
     # equal values are split by ranges of the tie key, so one common value does not fill one task
     out = out.withColumn("_tb", F.floor(F.col(tie) / 100_000))
     tied = out.groupBy(*keys, value, "_tb").agg(F.count(F.lit(1)).alias("_tn"))
     ahead = Window.partitionBy(*keys, value).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     tied = tied.select(*keys, value, "_tb", F.coalesce(F.sum("_tn").over(ahead), F.lit(0)).alias("_t0"))
-    out = out.join(tied, [*keys, value, "_tb"])
+    out = join_null_safe(out, tied, [*keys, value, "_tb"])
     return out.withColumns(
         {
             "row_number": F.col("rank") - 1 + F.col("_t0") + F.row_number().over(within),

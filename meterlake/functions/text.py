@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The id pattern without look-ahead, and its replacement (first three and last two characters stay)
-ID_PATTERN = (
-    r"(?i)\b(?:(MTR)_?[A-Z0-9-]+([A-Z0-9-]{2})|(SM_)[A-Z0-9-]+([A-Z0-9-]{2})"
-    r"|(SM[A-Z0-9-])[A-Z0-9-]*([A-Z0-9-]{2})|(BES)COM_?[A-Z0-9-]+([A-Z0-9-]{2}))\b"
-)
-ID_REPLACEMENT = "$1$3$5$7...$2$4$6$8"
+#: Beginnings of meter ids in free text; a deployment passes its own.
+ID_PREFIXES = ("MTR", "SM", "METER")
 MASKED = "[masked-meter]"
 REDACTED = "[redacted]"
 METER_NAMES = ("meterid", "meter_id")
@@ -40,8 +39,25 @@ FEATURE_NAMES = {
 }
 
 
-def mask_text(c: Column) -> Column:
-    return F.regexp_replace(c, ID_PATTERN, ID_REPLACEMENT)
+def id_pattern(prefixes: Sequence[str] = ID_PREFIXES) -> str:
+    """A word that begins with one of the prefixes, without look-ahead: a group for the first three characters and one
+    for the last two of each kind."""
+    kinds = []
+    for p in prefixes:
+        head = re.escape(p[:3]) + "[A-Z0-9_-]" * (3 - len(p[:3]))
+        rest = re.escape(p[3:]) + ("[A-Z0-9_-]+" if len(p) >= 3 else "[A-Z0-9_-]*")
+        kinds.append(f"({head}){rest}([A-Z0-9-]{{2}})")
+    return rf"(?i)\b(?:{'|'.join(kinds)})\b"
+
+
+def id_replacement(prefixes: Sequence[str] = ID_PREFIXES, mark: str = "$") -> str:
+    odd = "".join(f"{mark}{2 * i + 1}" for i in range(len(prefixes)))
+    return odd + "..." + "".join(f"{mark}{2 * i + 2}" for i in range(len(prefixes)))
+
+
+def mask_text(c: Column, prefixes: Sequence[str] = ID_PREFIXES) -> Column:
+    """Ids in a text keep their first three and last two characters."""
+    return F.regexp_replace(c, id_pattern(prefixes), id_replacement(prefixes))
 
 
 def mask_id(c: Column) -> Column:
@@ -49,24 +65,28 @@ def mask_id(c: Column) -> Column:
     return F.when(F.length(s) <= 4, MASKED).otherwise(F.concat(F.substring(s, 1, 3), F.lit("..."), F.right(s, F.lit(2))))
 
 
-def _hide(name: str, c: Column, kind: T.DataType) -> Column:
+def _hide(name: str, c: Column, kind: T.DataType, limit: int | None) -> Column:
     low = name.lower()
     if low in METER_NAMES:
         return mask_id(c)
     if low in HIDDEN_NAMES:
         return F.lit(REDACTED)
     if isinstance(kind, T.StructType):
-        return F.struct(*[_hide(f.name, c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.struct(*[_hide(f.name, c[f.name], f.dataType, limit).alias(f.name) for f in kind.fields])
     if isinstance(kind, T.ArrayType):
-        return F.transform(F.slice(c, 1, LIST_LIMIT), lambda x: _hide("", x, kind.elementType))
+        shown = c if limit is None else F.slice(c, 1, limit)
+        return F.transform(shown, lambda x: _hide("", x, kind.elementType, limit))
     if isinstance(kind, T.StringType):
         return mask_text(c)
     return c
 
 
-def redact(df: DataFrame) -> DataFrame:
-    """Rewrite every column by its name and type: ids masked, places hidden, free text scanned for ids."""
-    return df.select(*[_hide(f.name, F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+def redact(df: DataFrame, limit: int | None = LIST_LIMIT) -> DataFrame:
+    """Rewrite every column by its name and type: ids masked, places hidden, free text scanned for ids.
+
+    Lists show their first ``limit`` items, all of them with None.
+    """
+    return df.select(*[_hide(f.name, F.col(f.name), f.dataType, limit).alias(f.name) for f in df.schema.fields])
 
 
 def feature_name(c: Column) -> Column:

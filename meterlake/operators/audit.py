@@ -38,9 +38,10 @@ def seed(key: Column, segment: Column) -> Column:
 
 
 def chain(log: DataFrame, key: str, bucket: Column, order: list[str], payload: str) -> DataFrame:
-    """sha256(previous hash + payload) along each key, restarted from a known seed every SEGMENT_ROWS rows.
+    """sha256(previous hash + payload) along each key, in segments of SEGMENT_ROWS rows with a seed each.
 
-    The fold is sequential by nature; segments bound it, so one long chain is many tasks.
+    The fold is sequential by nature; segments bound it, so one long chain is many tasks. ``segment_heads`` chains the
+    segments themselves, so that nothing between them can be taken out or put in; both levels are checked together.
     """
     numbered = running(log, [key], bucket, order, number="position")
     cut = numbered.withColumn("segment", F.floor((F.col("position") - 1) / SEGMENT_ROWS))
@@ -76,6 +77,35 @@ def broken_links(log: DataFrame, key: str, payload: str) -> DataFrame:
     return checked.where(~(F.col("hash_ok") & F.col("prev_ok")))
 
 
+def segment_heads(log: DataFrame, key: str) -> DataFrame:
+    """Second level of a chain: per segment its rows, its last entry, and a hash over that and the head before.
+
+    A key has one row per SEGMENT_ROWS entries here. To be kept apart from the log.
+    """
+    last = log.groupBy(key, "segment").agg(F.count(F.lit(1)).alias("rows"), F.max_by("entry_hash", "position").alias("last_hash"))
+    ordered = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("segment", "rows", "last_hash"))).alias("_s"))
+
+    def link(state, s):
+        before = F.coalesce(F.try_element_at(state, F.lit(-1))["head_hash"], seed(F.col(key), F.lit("heads")))
+        text = F.concat(before, F.lit(":"), s["segment"].cast("string"), F.lit(":"), s["rows"].cast("string"), F.lit(":"), s["last_hash"])
+        return F.concat(state, F.array(F.struct(s["segment"].alias("segment"), s["rows"].alias("rows"), s["last_hash"].alias("last_hash"), F.sha2(text, 256).alias("head_hash"))))
+
+    kind = "array<struct<segment:bigint,rows:bigint,last_hash:string,head_hash:string>>"
+    return ordered.select(key, F.inline(F.aggregate("_s", F.array().cast(kind), link)))
+
+
+def broken_segments(log: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """(key, segment) where log and kept heads differ: missing, added or shortened segments, gaps in position, and every
+    segment whose head no longer follows. Together with ``broken_links`` any deletion, change or insertion shows."""
+    now = segment_heads(log, key).select(key, "segment", F.col("head_hash").alias("_head"))
+    first = F.col("segment") * SEGMENT_ROWS
+    places = log.groupBy(key, "segment").agg((F.min("position") - first).alias("_low"), (F.max("position") - first - F.count(F.lit(1))).alias("_gap"))
+    here = now.join(places, [key, "segment"])
+    both = heads.join(here, [key, "segment"], "full")
+    fine = F.col("head_hash").eqNullSafe(F.col("_head")) & F.col("_low").eqNullSafe(F.lit(1)) & F.col("_gap").eqNullSafe(F.lit(0))
+    return both.where(~fine).select(key, "segment")
+
+
 def transitions(log: DataFrame, key: str, bucket: Column, order: list[str], state: str) -> DataFrame:
     """Previous state of each log row and whether the move is allowed (a first state always is)."""
     rows = neighbours(log, [key], bucket, order, [state])

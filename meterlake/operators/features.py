@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.functions.scaling import neighbours, running
+from meterlake.functions.scaling import neighbours, running, value_bucket
 
 # Fixed values
 OPEN_STATES = ("Open", "Investigating")
@@ -108,8 +108,10 @@ def detector_votes(df: DataFrame, cut: float = 0.65) -> DataFrame:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with codes in sorted order, from 0. The set of distinct values is what is ordered."""
     values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    # buckets by the first characters keep the ordering of a large value set in many tasks
-    numbered = running(values, [], F.substring("value", 1, 3), ["value"], number="_n")
+    # a few values in hash order, sorted, cut the others into even ranges, whatever beginnings they share
+    some = values.orderBy(F.xxhash64("value"), "value").limit(256)
+    edges = some.groupBy().agg(F.sort_array(F.collect_list("value"))).scalar()
+    numbered = running(values.withColumn("_edges", edges), [], value_bucket(F.col("_edges"), F.col("value")), ["value"], number="_n")
     return numbered.select("value", (F.col("_n") - 1).alias("code"))
 
 
@@ -130,43 +132,46 @@ def lags(grid: DataFrame, value: str, steps: Sequence[int], ts: str = "hour_ts")
 def rolling(grid: DataFrame, value: str, widths: Sequence[int], ts: str = "hour_ts") -> DataFrame:
     """Mean, sample deviation and maximum over rows -n..0 (n + 1 rows), on a dense grid.
 
-    Work per row does not grow with the frame: mean and deviation come from running sums minus lagged running sums,
-    the maximum from maxima over 1, 2, 4, ... rows, each the greater of two halves. All windows share one sort.
+    A meter's rows are cut into blocks of the frame's length. A frame is the head of its block up to the row and the
+    tail of the block before, so each row needs one running aggregate from either end of a block: work per row does
+    not grow with the frame. Count, mean and squared deviations of the two parts are merged, nothing is subtracted,
+    and a far value leaves no trace once it has left the frame. Rows are numbered once and sorted once per width.
     """
     order = Window.partitionBy("meter_id").orderBy(ts)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    centre = F.avg(value).over(Window.partitionBy("meter_id"))
-    # sums of differences to the meter's mean lose no digits when squares are subtracted
-    base = grid.withColumn("_centre", centre).withColumn("_x", F.col(value) - F.col("_centre"))
-    base = base.withColumns(
-        {
-            "_s1": F.coalesce(F.sum("_x").over(upto), F.lit(0.0)),
-            "_s2": F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(upto), F.lit(0.0)),
-            "_n": F.count("_x").over(upto),
-            "_m1": F.col(value),
-        }
-    )
-    power = 1
-    while 2 * power <= max(widths) + 1:
-        half = F.col(f"_m{power}")
-        base = base.withColumn(f"_m{2 * power}", F.greatest(half, F.lag(half, power).over(order)))
-        power *= 2
-    made = {}
+    base = grid.withColumn("_at", F.row_number().over(order) - 1)
     for k in widths:
-        n = F.col("_n") - F.coalesce(F.lag("_n", k + 1).over(order), F.lit(0))
-        s1 = F.col("_s1") - F.coalesce(F.lag("_s1", k + 1).over(order), F.lit(0.0))
-        s2 = F.col("_s2") - F.coalesce(F.lag("_s2", k + 1).over(order), F.lit(0.0))
-        spread = (s2 - s1 * s1 / n) / (n - 1)
-        p = 2 ** ((k + 1).bit_length() - 1)
-        top = F.col(f"_m{p}")
-        made |= {
-            f"roll_mean_{k}": F.when(n > 0, F.col("_centre") + s1 / n),
-            # what remains of a constant run after subtraction is rounding noise
-            f"roll_std_{k}": F.when(n > 1, F.sqrt(F.when(spread > 1e-9, spread).otherwise(F.lit(0.0)))),
-            f"roll_max_{k}": F.greatest(top, F.lag(top, k + 1 - p).over(order)) if k + 1 > p else top,
-        }
-    out = base.withColumns(made)
-    return out.drop("_x", "_s1", "_s2", "_n", "_centre", *[c for c in base.columns if c.startswith("_m")])
+        size = k + 1
+        base = base.withColumn("_blk", F.floor(F.col("_at") / size))
+        block = Window.partitionBy("meter_id", "_blk").orderBy("_at")
+        head = block.rowsBetween(Window.unboundedPreceding, 0)
+        # from the end of the block: a growing frame in descending order
+        tail = Window.partitionBy("meter_id", "_blk").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+
+        def parts(frame):
+            x = F.col(value)
+            return F.struct(
+                F.count(x).over(frame).alias("n"), F.avg(x).over(frame).alias("m"), F.var_pop(x).over(frame).alias("v"), F.max(x).over(frame).alias("top")
+            )
+
+        # the tail that begins one row after the same place of the block before
+        base = base.withColumns({"_head": parts(head), "_tail": parts(tail)})
+        before = F.lag("_tail", k).over(order)
+        full = F.col("_at") % size == k  # the block's head is the whole frame
+        base = base.withColumn("_old", F.when(~full, before)).drop("_tail")
+        a, b = F.col("_head"), F.col("_old")
+        na, nb = a["n"], F.coalesce(b["n"], F.lit(0))
+        n = na + nb
+        gap = F.coalesce(b["m"] - a["m"], F.lit(0.0))
+        mean = F.when(nb == 0, a["m"]).when(na == 0, b["m"]).otherwise(a["m"] + gap * nb / n)
+        square = F.coalesce(a["v"] * na, F.lit(0.0)) + F.coalesce(b["v"] * nb, F.lit(0.0)) + F.coalesce(gap * gap * na * nb / n, F.lit(0.0))
+        base = base.withColumns(
+            {
+                f"roll_mean_{k}": F.when(n > 0, mean),
+                f"roll_std_{k}": F.when(n > 1, F.sqrt(square / (n - 1))),
+                f"roll_max_{k}": F.greatest(a["top"], b["top"]),
+            }
+        ).drop("_head", "_old", "_blk")
+    return base.drop("_at")
 
 
 def day_statistics(grid: DataFrame, value: str = "kwh", ts: str = "hour_ts") -> DataFrame:
@@ -207,12 +212,14 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, b
 
     Without a bucket the rows of one key must be bounded (a dense grid); with one they may be any number.
     """
+    # the first row is known by its place, so that a null state may follow a null state within a run
+    tagged = df.withColumn("_row", F.lit(1))
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order)
-        marked = df.withColumn(f"prev_{state}", F.lag(state).over(w))
+        marked = tagged.withColumns({f"prev_{state}": F.lag(state).over(w), "prev__row": F.lag("_row").over(w)})
     else:
-        marked = neighbours(df, keys, bucket, order, [state])
-    start = (~F.col(state).eqNullSafe(F.col(f"prev_{state}"))) | F.col(f"prev_{state}").isNull()
+        marked = neighbours(tagged, keys, bucket, order, [state, "_row"])
+    start = F.col("prev__row").isNull() | ~F.col(state).eqNullSafe(F.col(f"prev_{state}"))
     marked = marked.withColumn("_start", start.cast("int"))
     if bucket is None:
         numbered = marked.withColumn("run_id", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))

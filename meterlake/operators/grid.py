@@ -128,7 +128,7 @@ def route_legs(stops: DataFrame, keys: list[str], bucket: Column, order: list[st
 
 
 def descendants(meters: DataFrame, usage: DataFrame, balance: DataFrame) -> DataFrame:
-    """Every node of the four levels with its meters, transformers and energy below it."""
+    """Every node of the four levels, down to the meters, with its meters, transformers and energy below it."""
     rows = meters.select("meter_id", "substation_id", "feeder_id", "transformer_id").join(usage, "meter_id", "left")
     inp = balance.groupBy("feeder_id").agg(F.sum("feeder_input_kwh").alias("input_kwh"))
     node = F.explode(
@@ -136,6 +136,7 @@ def descendants(meters: DataFrame, usage: DataFrame, balance: DataFrame) -> Data
             F.struct(F.lit(1).alias("depth"), F.col("substation_id").alias("node")),
             F.struct(F.lit(2).alias("depth"), F.col("feeder_id").alias("node")),
             F.struct(F.lit(3).alias("depth"), F.concat_ws("/", "feeder_id", "transformer_id").alias("node")),
+            F.struct(F.lit(4).alias("depth"), F.col("meter_id").cast("string").alias("node")),
         )
     )
     below = rows.withColumn("_n", node).groupBy("_n.depth", "_n.node").agg(

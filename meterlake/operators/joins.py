@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.functions.scaling import running
+from meterlake.functions.scaling import join_null_safe, running
 
 # Event names and types that get a flag of their own
 HOLIDAY_TYPES = ("national_holiday", "state_holiday")
@@ -163,7 +163,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, out:
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(key, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     inside = Window.partitionBy(key, "_b").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.join(carried, [key, "_b"]).withColumn(
-        out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry"))
-    )
+    seen = F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry"))
+    # a null key or time equals none, so such a row stays and gets no value
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    rows = join_null_safe(both, carried, [key, "_b"]).withColumn(out, F.when(known, seen))
     return rows.where(F.col("_side") == 1).drop("_side", "_v", "_b", "_carry")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -119,11 +120,24 @@ def importances(spark, model, features: list[str], top: int = 12) -> DataFrame:
 # ---------------------------------------------------------------- calibration and meta classifier
 
 
-def calibrate(df: DataFrame, score: str, label: str, out: str) -> DataFrame:
-    """Isotonic map of a score to a probability."""
-    rows = settle(df.withColumn(score, F.col(score).cast("double")).withColumn(label, F.col(label).cast("double")), "calibration")
-    model = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol=out).fit(rows)
-    return model.transform(rows)
+def _isotonic(train: DataFrame, score: str, label: str, out: str):
+    """Isotonic fit on one weighted row per distinct score, so what it pools is as small as the scores allow."""
+    rows = train.groupBy(score).agg(F.avg(label).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_w", predictionCol=out).fit(rows)
+
+
+def calibrate(df: DataFrame, score: str, label: str, out: str, key: str = "alert_id", folds: int = 5) -> DataFrame:
+    """Isotonic map of a score to a probability; each fold (by hash of the key) is mapped by a fit on the others."""
+    rows = df.withColumn(score, F.col(score).cast("double")).withColumn(label, F.col(label).cast("double"))
+    rows = settle(rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds))), "calibration")
+    parts = []
+    for k in range(folds):
+        train, part = rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k)
+        if train.isEmpty():
+            parts.append(part.withColumn(out, F.lit(None).cast("double")))
+        else:
+            parts.append(_isotonic(train, score, label, out).transform(part))
+    return functools.reduce(DataFrame.unionByName, parts).drop("_fold")
 
 
 META_FEATURES = [
@@ -132,7 +146,7 @@ META_FEATURES = [
 ]  # fixed values
 
 
-def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], label: str, c: float = 0.1) -> DataFrame:
+def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], label: str, c: float = 0.1, folds: int = 5) -> DataFrame:
     """Logistic regression over detector columns (nulls are 0), calibrated by an isotonic map of its score."""
     base = settle(labelled.fillna(0, features), "meta")
     put = VectorAssembler(inputCols=features, outputCol="_x")
@@ -145,8 +159,16 @@ def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], l
     def raw(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("_p", vector_to_array("probability")[1])
 
-    fitted = raw(train).select(F.col("_p"), F.col(label).cast("double").alias("_y"))
-    iso = IsotonicRegression(featuresCol="_p", labelCol="_y", predictionCol="theft_probability").fit(fitted)
+    # out-of-fold scores: a calibration on the fitted rows would trust them too much
+    held = []
+    folded = train.withColumn("_fold", F.pmod(F.xxhash64(*features), F.lit(folds)))
+    for k in range(folds):
+        rest, part = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)
+        if rest.select(label).distinct().count() == 2:
+            own = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), maxIter=100).fit(rest)
+            held.append(own.transform(part).select(vector_to_array("probability")[1].alias("_p"), F.col(label).cast("double").alias("_label")))
+    fitted = functools.reduce(DataFrame.unionByName, held) if held else raw(train).select("_p", F.col(label).cast("double").alias("_label"))
+    iso = _isotonic(fitted, "_p", "_label", "theft_probability")
     scored = iso.transform(raw(put.transform(rows.fillna(0, features))))
     return scored.drop("_x", "_p", "rawPrediction", "probability", "prediction")
 

@@ -120,27 +120,28 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Centroids that the grouping makes by default; a caller with more says so.
 MAX_GROUPS = 40
 
 
-def with_centroids(profiles: DataFrame, centres: DataFrame, label: str, out: str) -> DataFrame:
-    """Every row with the array of all centroids; more than MAX_GROUPS of them is an error, so the array is bounded."""
-    few = centres.groupBy().agg(F.slice(F.sort_array(F.collect_list(F.struct(label, "centroid"))), 1, MAX_GROUPS + 1))
+def with_centroids(profiles: DataFrame, centres: DataFrame, label: str, out: str, most: int = MAX_GROUPS) -> DataFrame:
+    """Every row with the array of all centroids; more than ``most`` of them is an error, so the array is bounded."""
+    few = centres.groupBy().agg(F.slice(F.sort_array(F.collect_list(F.struct(label, "centroid"))), 1, most + 1))
     rows = profiles.withColumn(out, few.scalar())
-    return rows.where(F.when(F.size(out) <= MAX_GROUPS, F.lit(True)).otherwise(F.raise_error(F.lit("too many centroids"))))
+    return rows.where(F.when(F.size(out) <= most, F.lit(True)).otherwise(F.raise_error(F.lit("too many centroids"))))
 
 
-def centroid_distances(profiles: DataFrame, centres: DataFrame, label: str, vector: str) -> DataFrame:
-    rows = with_centroids(profiles, centres, label, "_all").withColumn("_c", F.explode("_all"))
+def centroid_distances(profiles: DataFrame, centres: DataFrame, label: str, vector: str, most: int = MAX_GROUPS) -> DataFrame:
+    rows = with_centroids(profiles, centres, label, "_all", most).withColumn("_c", F.explode("_all"))
     return rows.select("meter_id", F.col("_c")[label].alias("cluster"), euclidean(F.col(vector), F.col("_c.centroid")).alias("distance"))
 
 
-def nearest_centroid(profiles: DataFrame, centres: DataFrame, label: str, vector: str) -> DataFrame:
+def nearest_centroid(profiles: DataFrame, centres: DataFrame, label: str, vector: str, most: int = MAX_GROUPS) -> DataFrame:
     """Closest centroid per row, found inside the row: no pairs are made."""
     scored = F.transform(
         F.col("_all"), lambda c: F.struct(euclidean(F.col(vector), c["centroid"]).alias("distance"), c[label].alias("cluster"))
     )
-    rows = with_centroids(profiles, centres, label, "_all").withColumn("_near", F.array_min(scored))
+    rows = with_centroids(profiles, centres, label, "_all", most).withColumn("_near", F.array_min(scored))
     return rows.withColumns({"cluster": F.col("_near.cluster"), "distance": F.col("_near.distance")}).drop("_near", "_all")
 
 

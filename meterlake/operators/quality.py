@@ -100,20 +100,21 @@ def freshness(readings: DataFrame, registry: DataFrame, as_of: str, expected_per
 
 
 def domain_check(df: DataFrame, table: str, column: str, allowed: list[str]) -> DataFrame:
+    """Values outside the list; null is accepted, as by an SQL constraint."""
     return df.groupBy().agg(
         F.lit(f"{table}.{column} in list").alias("check"),
-        F.count_if(~F.coalesce(F.col(column).isin(*allowed), F.lit(False))).alias("violations"),
+        F.count_if(~F.coalesce(F.col(column).isin(*allowed), F.lit(True))).alias("violations"),
         F.count(F.lit(1)).alias("rows"),
     )
 
 
 def reference_check(df: DataFrame, table: str, column: str, target: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing in the target: keys are counted first, so copies of one key do not travel."""
+    """Rows whose key is missing in the target; null is accepted. Keys are counted first, so copies do not travel."""
     keys = df.groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     known = target.select(F.col(key).alias("_k")).distinct().withColumn("_ok", F.lit(True))
     return keys.join(known, "_k", "left").groupBy().agg(
         F.lit(f"{table}.{column} exists").alias("check"),
-        F.coalesce(F.sum(F.when(F.col("_ok").isNull(), F.col("_n"))), F.lit(0)).alias("violations"),
+        F.coalesce(F.sum(F.when(F.col("_ok").isNull() & F.col("_k").isNotNull(), F.col("_n"))), F.lit(0)).alias("violations"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
     )
 

@@ -42,9 +42,11 @@ def last_ascending(df: DataFrame, newest_first: list[Column], rows: int, ascendi
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: list[Column], rows: int) -> DataFrame:
     """First ``rows`` rows per key. Spark limits each group in every task before the shuffle (window group limit),
-    so at most tasks x rows rows of one key meet, however large the key is. It does so up to 1000 rows."""
-    if rows > 1000:
-        raise ValueError("top_per_key keeps at most 1000 rows per key")
+    so at most tasks x rows rows of one key meet, however large the key is. The session's limit for that is raised
+    where more rows are wanted."""
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if rows > int(df.sparkSession.conf.get(limit, "1000")):
+        df.sparkSession.conf.set(limit, str(rows))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= rows)
 

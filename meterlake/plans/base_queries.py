@@ -116,7 +116,7 @@ def _(v):
     S.append_by_date(rows, path)
     # a second run of the last day replaces that day only
     S.overwrite_dates(rows.where(F.col("date") == F.lit("2024-01-30").cast("date")), path)
-    back = S.read_dates(v.spark, path, "timestamp", "2024-01-01", "2024-02-01")
+    back = S.read_dates(v.spark, path, "timestamp")
     return back.groupBy("date").agg(F.count(F.lit(1)).alias("readings"), F.sum("kwh").alias("kwh"))
 
 
@@ -127,6 +127,20 @@ def _(v):
     return v.spark.range(1).select(F.lit(n).alias("rows_written"))
 
 
+@query(
+    "a9_preview_artifact",
+    "zone forecast_date:s forecast_mw:d8",
+    "SELECT zone, forecast_date, forecast_mw FROM forecasts ORDER BY forecast_date DESC, zone DESC LIMIT 120",
+    "forecasts",
+)
+def _(v):
+    """The last 120 forecast rows as a CSV file for a quick look."""
+    path = S.shared_folder(v.spark, "preview")
+    rows = v.forecasts.select("zone", "forecast_date", "forecast_mw")
+    S.write_top(rows, path, [F.desc("forecast_date"), F.desc("zone")], 120)
+    return S.read_csv(v.spark, path, rows.schema)
+
+
 @query(
     "a9_ranked_artifact_sink",
     "alert_id:i anomaly_score:d",
@@ -435,9 +449,8 @@ def _(v):
 @query(
     "c16_mask_ids_in_text",
     "doc_id:i masked",
-    """SELECT doc_id, regexp_replace('MTR-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || ' ' || text,
-    '(?i)\\b(?:(MTR)_?[A-Z0-9-]+([A-Z0-9-]{2})|(SM_)[A-Z0-9-]+([A-Z0-9-]{2})|(SM[A-Z0-9-])[A-Z0-9-]*([A-Z0-9-]{2})|(BES)COM_?[A-Z0-9-]+([A-Z0-9-]{2}))\\b',
-    '\\1\\3\\5\\7...\\2\\4\\6\\8', 'g') AS masked FROM documents""",
+    f"""SELECT doc_id, regexp_replace('MTR-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || ' ' || text,
+    '{X.id_pattern()}', '{X.id_replacement(mark=chr(92))}', 'g') AS masked FROM documents""",
 )
 def _(v):
     body = F.concat(F.lit("MTR-"), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit(" "), F.col("text"))

@@ -81,12 +81,12 @@ def _(v):
 
 @query("n2_median_forecast", "zone forecast_date:s actual_mw:d p50:d is_train:b")
 def _(v):
-    return models.median_forecast(v.forecasts, iterations=20)
+    return models.median_forecast(v.forecasts)
 
 
 @query("n3_quantile_forecast", "zone forecast_date:s actual_mw:d p10:d p50:d p90:d is_train:b")
 def _(v):
-    return models.quantile_forecast(settle(models.median_forecast(v.forecasts, iterations=10), "median"))
+    return models.quantile_forecast(settle(models.median_forecast(v.forecasts), "median"))
 
 
 @query(
@@ -168,7 +168,7 @@ def _(v):
 
 @query("n10_parameter_search", "params mean_mape:d std_mape:d best:b")
 def _(v):
-    return models.grid_search(v.forecasts, {"maxDepth": [2, 3], "maxIter": [5]}, folds=2)
+    return models.grid_search(v.forecasts, {"maxDepth": [2, 3], "maxIter": [20, 60]})
 
 
 @query(

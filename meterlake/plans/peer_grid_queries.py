@@ -73,7 +73,7 @@ def _(v):
 
 @query("h3_landmark_dtw", "meter_id:i landmark_id:i distance:d")
 def _(v):
-    return peers.landmark_distances(peers.profile_vectors(profile_rows(v)), 16)
+    return peers.landmark_distances(peers.profile_vectors(profile_rows(v)))
 
 
 @query(
@@ -91,13 +91,13 @@ def _(v):
 
 @query("h5_affinity_groups", "meter_id:i cluster:i")
 def _(v):
-    d = peers.landmark_distances(peers.profile_vectors(profile_rows(v)), 16)
+    d = peers.landmark_distances(peers.profile_vectors(profile_rows(v)))
     return peers.group_by_affinity(peers.affinities(settle(d, "distances")), 5)
 
 
 @query("h6_group_count_sweep", "k:i silhouette:d best:b")
 def _(v):
-    return peers.group_count_sweep(v.profiles, [5, 8, 10, 12])
+    return peers.group_count_sweep(v.profiles, list(range(5, 41)))
 
 
 @query(
@@ -380,7 +380,8 @@ def _(v):
     SELECT d.*, input_kwh, (input_kwh - kwh) / nullif(input_kwh, 0) AS loss_ratio FROM (
     SELECT 1 AS depth, substation_id AS node, count(*) AS meters, count(DISTINCT transformer_id) AS transformers, coalesce(sum(kwh), 0) AS kwh FROM rows_ GROUP BY 2
     UNION ALL SELECT 2, feeder_id, count(*), count(DISTINCT transformer_id), coalesce(sum(kwh), 0) FROM rows_ GROUP BY 2
-    UNION ALL SELECT 3, feeder_id || '/' || transformer_id, count(*), count(DISTINCT transformer_id), coalesce(sum(kwh), 0) FROM rows_ GROUP BY 2) d
+    UNION ALL SELECT 3, feeder_id || '/' || transformer_id, count(*), count(DISTINCT transformer_id), coalesce(sum(kwh), 0) FROM rows_ GROUP BY 2
+    UNION ALL SELECT 4, CAST(meter_id AS VARCHAR), count(*), count(DISTINCT transformer_id), coalesce(sum(kwh), 0) FROM rows_ GROUP BY 2) d
     LEFT JOIN (SELECT 2 AS depth, feeder_id AS node, i AS input_kwh FROM fed
     UNION ALL SELECT 1, substation_id, sum(i) FROM fed JOIN owner USING (feeder_id) GROUP BY 2) f ON f.depth = d.depth AND f.node = d.node""",
     "meters billed feeder_readings",

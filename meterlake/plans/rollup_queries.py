@@ -307,19 +307,22 @@ def _(v):
     "readings",
 )
 def _(v):
-    """Sketches next to exact values: within 5 % of the distinct count and between the 45th and 55th percentile."""
+    """Sketches next to exact values: within 5 % of the distinct count and between the exact 45th and 55th percentile."""
+    from meterlake.functions.scaling import quantiles
+
     day = F.to_date("timestamp").alias("date")
+    bounds = quantiles(v.readings.withColumn("date", day), ["date"], "kwh", {"low": 0.45, "high": 0.55})
     # exact distinct counting needs a row per (date, meter); sketches do not, so each has its own aggregate
     per_meter = v.readings.groupBy(day, "meter_id").agg(F.count(F.lit(1)).alias("n"))
     exact = per_meter.groupBy("date").agg(F.sum("n").alias("readings"), F.count(F.lit(1)).alias("e"))
     sketch = v.readings.groupBy(day).agg(
-        F.approx_count_distinct("meter_id", 0.02).alias("a"), F.percentile_approx("kwh", [0.45, 0.5, 0.55]).alias("q")
+        F.approx_count_distinct("meter_id", 0.02).alias("a"), F.percentile_approx("kwh", 0.5).alias("q")
     )
-    return exact.join(sketch, "date").select(
+    return exact.join(sketch, "date").join(bounds, "date").select(
         "date",
         "readings",
         (F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e") + 1).alias("distinct_ok"),
-        F.col("q")[1].between(F.col("q")[0], F.col("q")[2]).alias("median_ok"),
+        F.col("q").between(F.col("low"), F.col("high")).alias("median_ok"),
     )
 
 

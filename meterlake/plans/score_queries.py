@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.scaling import quantiles
 from meterlake.operators import anomaly, audit, features, joins, models, quality, rollup
+from meterlake.plans import reports
 from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, changes, current_topology, daily
 from meterlake.plans.rollup_queries import REPORT
@@ -35,7 +36,7 @@ def normal_vectors(v):
 
 @query("i1_isolation_forest", "meter_id:i date:s isolation:d")
 def _(v):
-    forest = models.IsolationForest(trees=100).fit(normal_vectors(v), ["meter_id", "date"], "vector")
+    forest = models.IsolationForest().fit(normal_vectors(v), ["meter_id", "date"], "vector")
     return forest.score(vectors(v), "vector", "isolation")
 
 
@@ -83,17 +84,15 @@ def _(v):
     cells = [F.col(c) for c in rollup.HOURS]
     rows = rollup.hour_pivot(v.readings).select("meter_id", "date", F.array(*cells).alias("profile"))
     scored = models.reconstruction_errors(rows, "profile", 16)
-    cut = anomaly.threshold(scored, "recon_error", 0.99)
+    theft = v.readings.where("is_theft_flag").select("meter_id", F.to_date("timestamp").alias("date")).distinct()
+    # the cut comes from days without a known theft
+    cut = anomaly.threshold(scored.join(theft, ["meter_id", "date"], "left_anti"), "recon_error", 0.99)
     return scored.withColumn("_t", cut).withColumn("is_anomaly", F.col("recon_error") > F.col("_t"))
 
 
-THEFT_FEATURES = ["total_kwh", "avg_kwh", "max_kwh", "avg_voltage", "avg_kvah", "avg_score", "comms_ok_ratio", "tamper_any", "flatline_score"]
-
-
 @query("i7_theft_classifier", "meter_id:i date:s theft_label:i supervised:d")
 def _(v):
-    days = rollup.daily_features(v.readings)
-    _, scored, _ = models.theft_classifier(days, THEFT_FEATURES, "theft_label", "date", ["meter_id"], trees=60, depth=8)
+    _, scored, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
     return scored
 
 
@@ -110,9 +109,21 @@ def _(v):
 
 @query("i9_feature_importance", "feature importance:d")
 def _(v):
-    days = rollup.daily_features(v.readings)
-    model, _, _ = models.theft_classifier(days, THEFT_FEATURES, "theft_label", "date", ["meter_id"], trees=40, depth=6)
-    return models.importances(v.spark, model, THEFT_FEATURES)
+    model, _, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
+    return models.importances(v.spark, model, reports.THEFT_FEATURES)
+
+
+@query("e0_scoring_chain", "meter_id:i date:s theft_label:i supervised:d isolation:d blended:d predicted_theft:i")
+def _(v):
+    """Daily features to forest and isolation scores, scaled, blended and cut; the 500 most suspicious later days."""
+    _, scored, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
+    forest = models.IsolationForest().fit(normal_vectors(v), ["meter_id", "date"], "vector")
+    alone = forest.score(vectors(v), "vector", "isolation").select("meter_id", "date", F.col("isolation").alias("raw"))
+    alone = anomaly.min_max(alone, "raw", "isolation").select("meter_id", "date", "isolation")
+    rows = scored.select("meter_id", "date", "theft_label", "supervised").join(alone, ["meter_id", "date"], "left")
+    rows = rows.withColumn("blended", anomaly.blend(F.col("supervised"), F.coalesce("isolation", F.lit(0.0))))
+    rows = rows.withColumn("predicted_theft", (F.round("blended", 9) >= 0.5).cast("int"))
+    return rows.orderBy(F.desc(F.round("blended", 9)), "meter_id", "date").limit(500)
 
 
 @query("i10_meta_classifier", "alert_id:i theft_probability:d")
@@ -164,7 +175,7 @@ def _(v):
 @query("i14_recent_changepoint", "meter_id:i recent_changepoint:b last_changepoint:s")
 def _(v):
     slots = v.hourly
-    return models.recent_changepoint(slots, models.changepoints(slots, "meter_id", "hour_ts", "kwh"), "meter_id", "hour_ts", 672)
+    return models.recent_changepoint(slots, models.changepoints(slots, "meter_id", "hour_ts", "kwh"), "meter_id", "hour_ts", 168)  # a week of hours
 
 
 @query(
@@ -286,7 +297,7 @@ def audit_log(v):
 
 
 def chained(v):
-    return audit.chain(audit_log(v), "alert_id", F.struct("action_timestamp", "step"), ["action_timestamp", "step", "part_id", "inspector_id"], "payload")
+    return audit.chain(audit_log(v), "alert_id", F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], "payload")
 
 
 def _recursive(tail: str) -> str:
@@ -324,7 +335,7 @@ def _(v):
     from meterlake.functions.scaling import running
 
     return running(
-        audit_log(v), ["alert_id"], F.struct("action_timestamp", "step"), ["action_timestamp", "step", "part_id", "inspector_id"], number="position"
+        audit_log(v), ["alert_id"], F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], number="position"
     )
 
 
@@ -345,7 +356,7 @@ def _(v):
     log = v.audits.withColumnRenamed("related_alert_id", "alert_id").withColumn(
         "state", F.when(F.col("outcome") == "Fail", "Assigned").when(F.col("outcome") == "Pass", "Resolved").otherwise("Snoozed")
     )
-    return audit.transitions(log, "alert_id", F.struct("action_timestamp", "step"), ["action_timestamp", "step", "part_id", "inspector_id"], "state")
+    return audit.transitions(log, "alert_id", F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], "state")
 
 
 @query("k5_training_labels", "alert_id:i anomaly_score:d label:i", "SELECT alert_id, anomaly_score, label FROM labelled", "labelled", LABELLED)

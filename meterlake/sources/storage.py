@@ -46,8 +46,12 @@ def trim_range(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
     return df.where((F.col(column) >= F.lit(start).cast("timestamp")) & (F.col(column) < F.lit(end).cast("timestamp")))
 
 
-def read_dates(spark: SparkSession, path: str, column: str, start: str, end: str, date_column: str = "date") -> DataFrame:
-    """A date-partitioned table over [start, end): the date filter prunes folders, the time filter prunes row groups."""
+def read_dates(
+    spark: SparkSession, path: str, column: str, start: str | None = None, end: str | None = None, date_column: str = "date"
+) -> DataFrame:
+    """A date-partitioned table, over [start, end) if given: the date filter prunes folders, the time filter row groups."""
+    if start is None or end is None:
+        return spark.read.parquet(path)
     low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     rows = spark.read.parquet(path).where(F.col(date_column).between(low.cast("date"), high.cast("date")))
     return rows.where((F.col(column) >= low) & (F.col(column) < high))

@@ -136,10 +136,9 @@ class Views:
     def weather(self) -> DataFrame:
         hours = self.readings.select(F.date_trunc("hour", "timestamp").alias("timestamp")).distinct()
         h, d, n = F.hour("timestamp"), F.dayofmonth("timestamp"), F.col("n_nationkey")
-        zones = F.sequence(F.lit(0), F.lit(24))  # the 25 nations of the place table
-        rows = hours.withColumn("n_nationkey", F.explode(zones)).join(
-            self.table("nation").select("n_nationkey", F.col("n_name").alias("zone_id")), "n_nationkey"
-        )
+        # every zone of the place table for every hour: the list of zones is a dimension, the hours are a few thousand
+        zones = self.table("nation").groupBy().agg(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("zone_id")))).scalar()
+        rows = hours.select("timestamp", F.explode(zones).alias("z")).select("timestamp", "z.*")
         return rows.select(
             "zone_id",
             "timestamp",

@@ -140,7 +140,13 @@ def feeder_matches(readings: DataFrame, registry: DataFrame, telemetry: DataFram
 
 
 def run_counted(stream: DataFrame, path: str) -> dict[str, int]:
-    """Process what is new since the last run at ``path``; count the rows read and those the watermark turned away."""
+    """Process what is new since the last run at ``path``; count the rows read and those the watermark turned away.
+
+    Spark keeps the progress of a limited number of micro-batches; the limit is raised for the run, and a run that
+    reaches it is an error, never a smaller count.
+    """
+    most = 100_000
+    stream.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(most))
     q = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/data")
@@ -150,7 +156,10 @@ def run_counted(stream: DataFrame, path: str) -> dict[str, int]:
     )
     q.awaitTermination()
     seen = {"input_rows": 0, "dropped_rows": 0}
-    for p in q.recentProgress:
+    progress = q.recentProgress
+    if len(progress) >= most:
+        raise RuntimeError("more micro-batches than progress records")
+    for p in progress:
         seen["input_rows"] += int(p["numInputRows"])
         seen["dropped_rows"] += sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])
     return seen
