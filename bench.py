@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,7 +19,7 @@ HEADLINE = [
     "e7_register_rollback", "e12_last_rows_per_meter", "e15_alert_ranks", "f4_hourly_rollup", "f7_daily_vector", "f8_kpi_row",
     "f10_zone_summary", "f16_grid_rollup", "g3_top_alerts_per_zone", "h2_profile_vectors", "h7_nearest_centroid",
     "i15_sigma_and_fences", "i16_pattern_rules", "j3_feeder_balance", "j4_neighbour_means", "k1_hash_chain", "l2_stream_hourly_rollup",
-    "m1_stability_index", "m8_roc_auc_and_average_precision", "n4_conformal_intervals", "n18_cause_table",
+    "e0_feature_table", "i1_isolation_forest", "i7_theft_classifier", "m1_stability_index", "m8_roc_auc_and_average_precision", "n4_conformal_intervals", "n18_cause_table",
 ]
 
 
@@ -28,7 +29,9 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_session("meterlake-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+    scratch = tempfile.TemporaryDirectory(prefix="meterlake-bench-")
+    parts = int(cpus) if cpus.isdigit() else 8
+    spark = get_session("meterlake-bench", master=f"local[{cpus}]", shuffle_partitions=parts, scratch=scratch.name)
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load_all()
     asked = os.environ.get("BENCH_QUERIES", "")
@@ -51,6 +54,7 @@ def main() -> None:
     }
     print(json.dumps(line))
     spark.stop()
+    scratch.cleanup()
 
 
 if __name__ == "__main__":

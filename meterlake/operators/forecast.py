@@ -42,11 +42,16 @@ def forecast_features(forecasts: DataFrame) -> DataFrame:
 
 
 def time_split(df: DataFrame, date: str, keys: list[str], share: float = 0.8, least: int = 20) -> DataFrame:
-    """First ``share`` of the rows in (date, keys) order as training rows; numbered without a global sort."""
+    """First ``share`` of the rows in (date, keys) order as training rows; numbered without a global sort.
+
+    ``is_calibration`` marks the last stretch of the training rows, as long as what follows them.
+    """
     numbered = running(df, [], F.col(date), [date, *keys], number="_i")
     total = df.groupBy().agg(F.count(F.lit(1))).scalar()
     cut = F.greatest(F.lit(least), F.floor(total * F.lit(share)))
-    return numbered.withColumn("is_train", F.col("_i") <= cut).withColumnRenamed("_i", "position")
+    train = F.col("_i") <= cut
+    marks = {"is_train": train, "is_calibration": train & (F.col("_i") > 2 * cut - total)}
+    return numbered.withColumns(marks).withColumnRenamed("_i", "position")
 
 
 def conformal_pads(calibration: DataFrame, actual: str, forecast: str, keys: list[str], levels: dict[str, float]) -> DataFrame:

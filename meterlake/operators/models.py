@@ -227,10 +227,10 @@ def median_forecast(forecasts: DataFrame, iterations: int = 180, depth: int = 3,
 
 
 def quantile_forecast(predicted: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Median plus the zone's residual quantiles of the training rows, sorted so that the three never cross."""
+    """Median plus the zone's residual quantiles of the calibration rows, sorted so that the three never cross."""
     from meterlake.functions.scaling import quantiles
 
-    resid = predicted.where("is_train").withColumn("_r", F.col("actual_mw") - F.col("p50"))
+    resid = predicted.where("is_calibration").withColumn("_r", F.col("actual_mw") - F.col("p50"))
     q = quantiles(resid, ["zone"], "_r", {"_lo": low, "_hi": high})
     rows = predicted.join(q, "zone")
     three = F.array_sort(

@@ -16,8 +16,9 @@ FC = {
     **REPORT,
     "split": (
         "forecasts",
-        """SELECT *, row_number() OVER (ORDER BY forecast_date, zone) AS position,
-        row_number() OVER (ORDER BY forecast_date, zone) <= greatest(20, floor(0.8E0 * count(*) OVER ())) AS is_train FROM forecasts""",
+        """SELECT *, position <= cut AS is_train, position <= cut AND position > 2 * cut - total AS is_calibration FROM (
+        SELECT *, row_number() OVER (ORDER BY forecast_date, zone) AS position, count(*) OVER () AS total,
+        greatest(20, floor(0.8E0 * count(*) OVER ())) AS cut FROM forecasts)""",
     ),
     "folds": (
         "forecasts",
@@ -34,7 +35,7 @@ FC = {
     "pads": (
         "split",
         """SELECT zone, quantile_cont(abs(actual_mw - forecast_mw), 0.9) AS pad90, quantile_cont(abs(actual_mw - forecast_mw), 0.99) AS pad99
-        FROM split WHERE is_train GROUP BY 1""",
+        FROM split WHERE is_calibration GROUP BY 1""",
     ),
     "causes": (
         "daily meters weather flags",
@@ -103,7 +104,7 @@ def _(v):
 
 def with_bands(v):
     rows = split(v)
-    pads = forecast.conformal_pads(rows.where("is_train"), "actual_mw", "forecast_mw", ["zone"], {"pad90": 0.9, "pad99": 0.99})
+    pads = forecast.conformal_pads(rows.where("is_calibration"), "actual_mw", "forecast_mw", ["zone"], {"pad90": 0.9, "pad99": 0.99})
     later = rows.where("NOT is_train").join(pads, "zone")
     return forecast.intervals(forecast.intervals(later, "forecast_mw", F.col("pad90"), "90"), "forecast_mw", F.col("pad99"), "99")
 
@@ -111,12 +112,12 @@ def with_bands(v):
 @query(
     "n4_overall_pad",
     "pad90:d8 pad99:d8",
-    """SELECT quantile_cont(abs(actual_mw - forecast_mw), 0.9) AS pad90, quantile_cont(abs(actual_mw - forecast_mw), 0.99) AS pad99 FROM split WHERE is_train""",
+    """SELECT quantile_cont(abs(actual_mw - forecast_mw), 0.9) AS pad90, quantile_cont(abs(actual_mw - forecast_mw), 0.99) AS pad99 FROM split WHERE is_calibration""",
     "split",
     FC,
 )
 def _(v):
-    return forecast.conformal_pads(split(v).where("is_train"), "actual_mw", "forecast_mw", [], {"pad90": 0.9, "pad99": 0.99})
+    return forecast.conformal_pads(split(v).where("is_calibration"), "actual_mw", "forecast_mw", [], {"pad90": 0.9, "pad99": 0.99})
 
 
 @query(

@@ -19,7 +19,10 @@ SETTINGS = {
 }
 
 
-def get_session(app: str = "meterlake", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(
+    app: str = "meterlake", master: str | None = None, shuffle_partitions: int | None = None, scratch: str | None = None
+) -> SparkSession:
+    """``scratch`` is the shared folder for written intermediate tables (``spark.checkpoint.dir``)."""
     builder = SparkSession.builder.appName(app)
     master = master or os.environ.get("METERLAKE_MASTER")
     if master:
@@ -29,6 +32,8 @@ def get_session(app: str = "meterlake", master: str | None = None, shuffle_parti
     if master and master.startswith("local"):
         # one JVM holds driver and tasks; the setting counts only before that JVM starts
         builder = builder.config("spark.driver.memory", os.environ.get("METERLAKE_MEMORY", "8g"))
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

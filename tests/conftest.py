@@ -12,10 +12,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from meterlake.session import get_session
 
-    s = get_session("meterlake-tests", master="local[8]", shuffle_partitions=8)
+    s = get_session("meterlake-tests", master="local[8]", shuffle_partitions=8, scratch=str(tmp_path_factory.mktemp("scratch")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
