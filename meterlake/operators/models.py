@@ -232,7 +232,8 @@ def quantile_forecast(predicted: DataFrame, low: float = 0.1, high: float = 0.9)
 
     resid = predicted.where("is_calibration").withColumn("_r", F.col("actual_mw") - F.col("p50"))
     q = quantiles(resid, ["zone"], "_r", {"_lo": low, "_hi": high})
-    rows = predicted.join(q, "zone")
+    # a zone without calibration rows keeps its median for all three
+    rows = predicted.join(q, "zone", "left").fillna(0.0, ["_lo", "_hi"])
     three = F.array_sort(
         F.array(F.greatest(F.col("p50") + F.col("_lo"), F.lit(0.0)), F.col("p50"), F.greatest(F.col("p50") + F.col("_hi"), F.lit(0.0)))
     )

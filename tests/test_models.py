@@ -103,7 +103,7 @@ def test_two_shapes_fall_into_two_groups(spark):
 
 def test_quantile_forecasts_do_not_cross(spark):
     rows = [("Z", 10.0, 9.0, True), ("Z", 5.0, 9.0, True), ("Z", 7.0, 0.5, False), ("Y", 1.0, 1.0, True), ("Y", 2.0, 1.0, False)]
-    df = spark.createDataFrame(rows, "zone string, actual_mw double, p50 double, is_train boolean")
+    df = spark.createDataFrame(rows, "zone string, actual_mw double, p50 double, is_calibration boolean")
     out = models.quantile_forecast(df).toPandas()
     assert len(out) == 5 and (out["p10"] <= out["p50"]).all() and (out["p50"] <= out["p90"]).all() and (out["p10"] >= 0).all()
 
