@@ -145,6 +145,35 @@ def test_keep_one_of_near_copies(spark, make_docs):
     assert len(kept - first) <= 6  # and of 120 near copies 95 in 100 go: the sketches of short texts are rough
 
 
+def test_near_copies_at_the_threshold(spark, make_docs):
+    """Pairs just above and just below a similarity of 0.8, by length: changes of one word, or of a block at the end."""
+    rng = random.Random(31)
+    texts, near = [], {}
+    for words in (15, 30, 60, 200, 1000):
+        for want in (0.62, 0.72, 0.78, 0.8, 0.83, 0.9):
+            for spread in (True, False):
+                for _ in range(8):
+                    base = [f"{len(texts)}.{k}" for k in range(words)]
+                    copy, last = list(base), list(base)
+                    places = rng.sample(range(words), words) if spread else range(words - 1, -1, -1)
+                    for k in places:
+                        copy[k] = f"new.{k}"
+                        if similarity(" ".join(base), " ".join(copy)) < want:
+                            break
+                        last = list(copy)
+                    if last == base and want >= 0.8:
+                        continue
+                    used = last if want >= 0.8 else copy
+                    near[len(texts)] = (words, similarity(" ".join(base), " ".join(used)))
+                    texts += [" ".join(base), " ".join(used)]
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(make_docs(texts)).collect()}
+    wrong = [i for i, (_, s) in near.items() if s < 0.8 and got[i] == got[i + 1]]
+    assert not wrong
+    for words in (15, 30, 60, 200, 1000):
+        alike = [i for i, (n, s) in near.items() if n == words and s >= 0.8]
+        assert len(alike) >= 16 and all(got[i] == got[i + 1] for i in alike), words
+
+
 def test_simhash_repeated_and_missing_ids(spark, make_docs):
     df = make_docs(["a b c d e", "a b c d e", "a b c d e", "q r s t u v"], ids=[5, 5, None, None])
     rows = simhash.classes(df).collect()
