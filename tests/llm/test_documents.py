@@ -202,6 +202,14 @@ def test_large_bucket_is_dealt_out_in_chunks(spark):
     assert {f: roots.get(f, f) for f in fps} == want
 
 
+def test_one_fingerprint_with_many_nodes_is_dealt_out(spark):
+    """Near copies with equal fingerprints: no task gets more than two chunks of them, give or take the hashing."""
+    keys = spark.range(2000).selectExpr("1L as key", "id as node", "7L as fp")
+    sizes = spark.createDataFrame([(1, 2000)], "key bigint, n bigint")
+    rows = simhash._dealt(keys, sizes, 100, "node").groupBy("one", "two").count().collect()
+    assert len(rows) == 20 * 21 // 2 and max(r["count"] for r in rows) <= 2 * 150
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (None, 3)]
