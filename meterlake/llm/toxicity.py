@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import by_block, hashed_order
+from meterlake.sources.storage import settle
 
-#: Labelled documents that the fit uses at most (half of them toxic), and the characters it takes of each.
-FIT_DOCS = 2400
-FIT_CHARS = 3000
+#: Labelled documents that the fit uses at most (half of them toxic), each as a whole.
+FIT_DOCS = 4000
 #: Longest chain in tokens; a longer sentence is cut into several.
 CHAIN = 64
 THRESHOLD = 0.7
@@ -149,9 +149,9 @@ def _marks(docs: list[tuple[list[str], int]]) -> tuple[set[str], set[str]]:
     return marks, marks | {f for f in known if f[0] == "="}
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 0.3, seed: int = 3) -> Model:
-    """A model from (text, toxic 0/1) pairs. Tokens are labelled from the documents: those of a toxic text that have a
-    mark. Without any mark the unary weights stay 0 and the base rate remains.
+def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed: int = 3) -> Model:
+    """A tagger from (text, toxic 0/1) pairs, without document weights. Tokens are labelled from the documents: those of a
+    toxic text that have a mark. Without any mark the unary weights stay 0.
     """
     docs = [(t.split(), int(y)) for t, y in rows]
     marks, known = _marks(docs)
@@ -163,7 +163,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 0.3, seed:
         for a, b in zip(starts, starts[1:]):
             labels = [int(y and t in marked) for t in tokens[a:b]]
             (hot if any(labels) else cold).append((tokens[a:b], labels))
-    cold = [cold[i] for i in rng.permutation(len(cold))[: max(2000, 2 * len(hot))]]
+    cold = [cold[i] for i in rng.permutation(len(cold))[: max(2000, 3 * len(hot))]]
     sample = [(hot + cold)[i] for i in rng.permutation(len(hot) + len(cold))]
     place = {"": 1} | {f: i + 2 for i, f in enumerate(sorted(known))}  # 0: none
     ids: dict[str, list[int]] = {}
@@ -196,11 +196,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 0.3, seed:
             g_step += grad_step**2
             unary -= rate * grad / np.sqrt(g_unary)
             step -= rate * grad_step / np.sqrt(g_step)
-    model = Model({f: float(unary[i]) for f, i in place.items() if abs(unary[i]) > 1e-3}, step, np.zeros(4))
-    found = [summary(m) for m in Tagger(model).tag([t for t, _ in docs])]
-    x, y = np.array(found).reshape(-1, 3), np.array([y for _, y in docs], float)
-    model.out = _logistic(np.hstack([np.ones((len(x), 1)), x]), y)
-    return model
+    return Model({f: float(unary[i]) for f, i in place.items() if abs(unary[i]) > 1e-3}, step, np.zeros(4))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -302,18 +298,30 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x @ self.model.out, -30, 30)))
 
 
-def learned(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fit on a bounded sample of labelled rows: at most ``fit_docs``, ``fit_chars`` characters of each text.
+def learned(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
+    """Fit on a sample of labelled rows, bounded by rows only: at most ``fit_docs``, each text as a whole.
 
     ``labels`` must hold only rows that may be learned from. Rows are taken in a fixed hash order, toxic ones first
-    up to a half. Null ids and labels are left out; an id with several labels counts as toxic if one says so.
+    up to a half. Null ids and labels are left out; an id with several labels counts as toxic if one says so. The
+    sample is tagged in Spark tasks, which return three numbers for each text to the fit of the document weights.
     """
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     y = y.select(F.col("doc_id").alias("id"), "y", hashed_order("doc_id").alias("h"))
     some = y.where("y = 1").orderBy("h", "id").limit(fit_docs // 2).unionByName(y.where("y = 0").orderBy("h", "id").limit(fit_docs // 2))
-    texts = docs.select(F.col("doc_id").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, fit_chars).alias("t"))
-    rows = texts.join(some, "id").select("t", "y", "h", "id").collect()
-    return fit([(r.t, r.y) for r in sorted(rows, key=lambda r: (r.h, r.id, r.t))])
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = settle(texts.join(some, "id").select(F.col("y").cast("double").alias("y"), "text", "h", "id"), "toxicity-sample")
+    rows = sample.collect()
+    model = fit([(r.text, int(r.y)) for r in sorted(rows, key=lambda r: (r.h, r.id, r.text))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(rows: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        found = np.array([summary(m) for m in Tagger(shared.value).tag([t.split() for t in texts])]).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c.copy()) for c in found.T)], names=["y", "most", "total", "mean"])
+
+    found = sample.mapInArrow(by_block(run), "y double, most double, total double, mean double").collect()
+    found = np.array(sorted(map(tuple, found)), float).reshape(-1, 4)
+    model.out = _logistic(np.hstack([np.ones((len(found), 1)), found[:, 1:]]), found[:, 0])
+    return model
 
 
 _TAGGERS: dict[int, Tagger] = {}

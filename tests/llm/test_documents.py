@@ -350,6 +350,21 @@ def test_toxicity(spark, make_docs, toxic_sample):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.score < 0.7}
 
 
+def test_toxic_words_late_in_long_texts(spark, make_docs):
+    rng = random.Random(18)
+    texts = []
+    for i in range(240):
+        words = prose(rng, 1000, 400)  # about 4700 characters
+        if i % 4 == 0:
+            for _ in range(3):
+                words[rng.randrange(850, 1000)] = rng.choice(["idiot", "scum.", "Moron,"])
+        texts.append(" ".join(words))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id bigint, quality int, toxic int")
+    docs = make_docs(texts)
+    rows = {r.doc_id: r for r in toxicity.score(docs, toxicity.learned(docs, labels)).collect()}
+    assert all((rows[i].score >= 0.7) == (i % 4 == 0) for i in range(160, 240))
+
+
 def test_toxicity_without_labels(spark, make_docs):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = toxicity.learned(make_docs(["a b"]), empty)
