@@ -96,7 +96,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def windows(tokens: list[list[str]], lexicon: Lexicon, width: int = WINDOW):
     """All template windows of some texts.
 
-    Gives, for every window, the text, its first word, the hash and whether it has enough plain words; and for the
+    Gives, for every window, the text, its first word, its number of words, the hash, the hash of its words as they are,
+    and whether it has enough plain words; and for the
     texts the first word and their number of words; and for the words the hash and whether they fill a slot. A text
     of fewer than ``width`` words is one window. The first word of a sentence is a word, not a name.
     """
@@ -121,37 +122,51 @@ def windows(tokens: list[list[str]], lexicon: Lexicon, width: int = WINDOW):
     n = len(ids)
     begin = np.cumsum(sizes) - sizes
     up, down = _powers(1 << max(10, n.bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(template * up[:n], dtype=np.uint64)))
+    sums, raw = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up[:n], dtype=np.uint64))) for x in (template, words))
     plain = np.concatenate(([0], np.cumsum(~is_slot)))
     place = np.arange(n) - begin[owner]
     start = np.flatnonzero(place <= np.maximum(sizes - width, 0)[owner])
     owner, place = owner[start], place[start]
     stop = start + np.minimum(width, sizes)[owner]
-    hashes = (sums[stop] - sums[start]) * down[start]
-    hashes ^= hashes >> np.uint64(29)
+    hashes, raw = ((x[stop] - x[start]) * down[start] for x in (sums, raw))
+    hashes, raw = ((x ^ x >> np.uint64(29)).view(np.int64) for x in (hashes, raw))
     fine = plain[stop] - plain[start] >= np.minimum(LITERALS, stop - start)
-    return owner, place, hashes.view(np.int64), fine, begin, sizes, words, is_slot
+    return owner, place, stop - start, hashes, raw, fine, begin, sizes, words, is_slot
 
 
 _LEXICON = Lexicon()
-ROWS = "id bigint, place int, hash bigint, slots array<bigint>"
+ROWS = "id bigint, place int, words int, hash bigint, slots array<bigint>"
 
 
-def _window_rows(width: int, kept: np.ndarray | None):
-    """mapInArrow: the windows of each row (id, text); with a sieve only those that pass it."""
+def _window_rows(width: int, kept: np.ndarray | None, shorter: tuple[int, ...] = ()):
+    """mapInArrow: the windows of each row (id, text), and those of ``shorter`` widths; with a sieve only those that pass it.
 
-    def run(rows: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        owner, place, hashes, fine, begin, sizes, words, is_slot = windows([t.split() for t in texts], _LEXICON, width)
-        pick = np.flatnonzero(fine & (passes(kept, hashes) if kept is not None else True))
+    A window with too few plain words has the hash of its words as they are and no slots, so that only an exact copy
+    matches; one of fewer than ``width`` words has that hash besides.
+    """
+
+    def some(ids: pa.Array, tokens: list[list[str]], now: int) -> pa.RecordBatch | None:
+        owner, place, count, hashes, raw, fine, begin, sizes, words, is_slot = windows(tokens, _LEXICON, now)
+        new = np.full(len(owner), True) if now == width else sizes[owner] > now  # a short text is a window of its own already
+        sets = [np.flatnonzero(new & on & (passes(kept, h) if kept is not None else True)) for on, h in ((fine, hashes), (~fine | (count < width), raw))]
+        pick = np.concatenate(sets)
         if not len(pick):
-            return
-        at = begin[owner[pick]][:, None] + place[pick][:, None] + np.arange(width)
-        inside = np.arange(width) < np.minimum(width, sizes[owner[pick]])[:, None]
+            return None
+        at = begin[owner[pick]][:, None] + place[pick][:, None] + np.arange(now)
+        inside = np.arange(now) < count[pick][:, None]
         at = np.where(inside, at, 0)
         on = is_slot[at] & inside
+        on[len(sets[0]) :] = False
         slots = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(on.sum(1)))).astype(np.int32)), pa.array(words[at][on].view(np.int64)))
-        ids = rows.column(0).take(pa.array(owner[pick]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(place[pick].astype(np.int32)), pa.array(hashes[pick]), slots], names=["id", "place", "hash", "slots"])
+        keys = np.concatenate([hashes[sets[0]], raw[sets[1]]])
+        columns = [ids.take(pa.array(owner[pick])), pa.array(place[pick].astype(np.int32)), pa.array(count[pick].astype(np.int32)), pa.array(keys), slots]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "place", "words", "hash", "slots"])
+
+    def run(rows: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        tokens = [t.split() for t in texts]
+        for now in (width, *shorter):
+            if (out := some(rows.column(0), tokens, now)) is not None:
+                yield out
 
     return by_block(run)
 
@@ -162,7 +177,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     Numbers, names and units become typed placeholders; a document matches an item if at least ``share`` of the
     item's windows of ``width`` words occur in it with slots that are filled consistently: each filling of the item
     stands for one and the same filling in the document. ``kind`` is ``exact`` if no filling differs, else
-    ``changed``. An item of fewer words is one window. Windows with fewer than three plain words are no evidence.
+    ``changed``. An item of fewer words is one window, looked for anywhere in a text if it has LITERALS words or more, else
+    as a whole text. A window with fewer than three plain words is evidence only where its words are the same.
     Null texts and ids match nothing; repeated rows and items give one row; other columns are ignored.
 
     Windows of the documents are thinned out by a sieve of fixed size before the hash join, so what is shuffled
@@ -170,20 +186,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").alias("id"), "text").distinct()
     items = items.mapInArrow(_window_rows(width, None), ROWS)
-    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("at"), "hash", F.col("slots").alias("own"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("hash").alias("total"))
+    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("at"), "words", "hash", F.col("slots").alias("own"))
+    lengths = tuple(r.words for r in items.where(f"words between {min(LITERALS, width)} and {width - 1}").select("words").distinct().orderBy("words").collect())  # fewer than width
+    items = items.drop("words")
+    totals = items.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
     shared = docs.sparkSession.sparkContext.broadcast(sieve(items.select("hash").distinct(), "hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _window_rows(width, shared.value)(batches)
+        yield from _window_rows(width, shared.value, lengths)(batches)
 
     found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, ROWS)
     found = settle(found.select(F.col("id").alias("doc_id"), "hash", "slots"), "windows")  # used twice
     hits = found.join(items, "hash")
-    pairs = hits.select("doc_id", "item_id", "hash", F.explode_outer(F.arrays_zip("own", "slots")).alias("s"))
-    pairs = pairs.select("doc_id", "item_id", "hash", F.col("s.own").alias("own"), F.col("s.slots").alias("new"))
+    pairs = hits.select("doc_id", "item_id", "at", F.explode_outer(F.arrays_zip("own", "slots")).alias("s"))
+    pairs = pairs.select("doc_id", "item_id", "at", F.col("s.own").alias("own"), F.col("s.slots").alias("new"))
     # votes for what replaces each filling; the one most often seen is the mapping
-    votes = pairs.groupBy("doc_id", "item_id", "own", "new").agg(F.countDistinct("hash").alias("n"))
+    votes = pairs.groupBy("doc_id", "item_id", "own", "new").agg(F.countDistinct("at").alias("n"))
     best = votes.where("own is not null").groupBy("doc_id", "item_id", "own").agg(F.max_by("new", F.struct("n", "new")).alias("image"))
     images = best.groupBy("doc_id", "item_id").agg(
         F.map_from_entries(F.collect_list(F.struct("own", "image"))).alias("image"),  # at most the slots of one item
@@ -194,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
         "agrees", F.forall(F.arrays_zip("own", "slots"), lambda s: F.try_element_at("image", s["own"]) == s["slots"])
     )
     sums = checked.where("agrees").groupBy("doc_id", "item_id").agg(
-        F.countDistinct("hash").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
+        F.countDistinct("at").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
     )
     out = sums.join(totals, "item_id").withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= share)
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast(T.LongType()).alias(c)

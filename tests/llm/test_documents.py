@@ -250,6 +250,17 @@ def test_decontamination(spark, make_docs):
     assert decontam.matches(make_docs([item, item], ids=[9, 9]), items).count() == 1
 
 
+def test_short_items_and_arithmetic_inside_texts(spark, make_docs):
+    rng = random.Random(16)
+    a, b = " ".join(prose(rng, 40)), " ".join(prose(rng, 40))
+    short = ["who wrote the old book", "name the largest moon", "What is 12 * 7 + 3 ?", "Boston beats Denver twice", "yes"]
+    sums = "1 + 2 = 3 and 4 + 5 = 9 and 6 + 7 = 13 so 8 + 9 = 17"
+    items = bench(spark, list(enumerate([*short, sums])))
+    texts = [f"{a} {t} {b}" for t in [*short, sums]] + [f"{a} What is 13 * 7 + 3 ? {b}", f"{a} {sums.replace('1', '6')} {b}", "yes"]
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(make_docs(texts), items).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (8, 4)}
+
+
 def test_planted_benchmark_items_are_found(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()}
