@@ -175,8 +175,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     """(doc_id, item_id, n_windows, share, n_slots, n_changed, kind) for every document that holds an item.
 
     Numbers, names and units become typed placeholders; a document matches an item if at least ``share`` of the
-    item's windows of ``width`` words occur in it with slots that are filled consistently: each filling of the item
-    stands for one and the same filling in the document. ``kind`` is ``exact`` if no filling differs, else
+    item's windows of ``width`` words occur in it with slots that are filled as in the item or consistently: each filling
+    of the item stands for one and the same filling in the occurrence. An occurrence is what lies within one length of
+    the item (diagonals, in two shifted rows of buckets, so that a few words more or less do not part it) or the whole
+    document; the one with the largest share counts, so one text may hold an item several times. ``kind`` is ``exact`` if no filling differs, else
     ``changed``. An item of fewer words is one window, looked for anywhere in a text if it has LITERALS words or more, else
     as a whole text. A window with fewer than three plain words is evidence only where its words are the same.
     Null texts and ids match nothing; repeated rows and items give one row; other columns are ignored.
@@ -189,31 +191,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     items = items.select(F.col("id").alias("item_id"), F.col("place").alias("at"), "words", "hash", F.col("slots").alias("own"))
     lengths = tuple(r.words for r in items.where(f"words between {min(LITERALS, width)} and {width - 1}").select("words").distinct().orderBy("words").collect())  # fewer than width
     items = items.drop("words")
-    totals = items.groupBy("item_id").agg(F.countDistinct("at").alias("total"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("at").alias("total"), (F.max("at") + width).alias("reach"))
     shared = docs.sparkSession.sparkContext.broadcast(sieve(items.select("hash").distinct(), "hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _window_rows(width, shared.value, lengths)(batches)
 
     found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, ROWS)
-    found = settle(found.select(F.col("id").alias("doc_id"), "hash", "slots"), "windows")  # used twice
-    hits = found.join(items, "hash")
-    pairs = hits.select("doc_id", "item_id", "at", F.explode_outer(F.arrays_zip("own", "slots")).alias("s"))
-    pairs = pairs.select("doc_id", "item_id", "at", F.col("s.own").alias("own"), F.col("s.slots").alias("new"))
+    found = settle(found.select(F.col("id").alias("doc_id"), "place", "hash", "slots"), "windows")  # used twice
+    hits = found.join(items.join(totals.select("item_id", "reach"), "item_id"), "hash")
+    bucket = lambda shift: F.floor((F.col("place") - F.col("at") + shift) / F.col("reach")).cast("bigint") * 4
+    spots = F.array(F.lit(3).cast("bigint"), bucket(0), bucket(F.floor(F.col("reach") / 2)) + 1)  # 3: the whole document
+    hits = hits.withColumn("spot", F.explode(spots)).drop("place", "reach")
+    pairs = hits.select("doc_id", "item_id", "spot", "at", F.explode_outer(F.arrays_zip("own", "slots")).alias("s"))
+    pairs = pairs.select("doc_id", "item_id", "spot", "at", F.col("s.own").alias("own"), F.col("s.slots").alias("new"))
     # votes for what replaces each filling; the one most often seen is the mapping
-    votes = pairs.groupBy("doc_id", "item_id", "own", "new").agg(F.countDistinct("at").alias("n"))
-    best = votes.where("own is not null").groupBy("doc_id", "item_id", "own").agg(F.max_by("new", F.struct("n", "new")).alias("image"))
-    images = best.groupBy("doc_id", "item_id").agg(
+    votes = pairs.groupBy("doc_id", "item_id", "spot", "own", "new").agg(F.countDistinct("at").alias("n"))
+    best = votes.where("own is not null").groupBy("doc_id", "item_id", "spot", "own").agg(F.max_by("new", F.struct("n", "new")).alias("image"))
+    images = best.groupBy("doc_id", "item_id", "spot").agg(
         F.map_from_entries(F.collect_list(F.struct("own", "image"))).alias("image"),  # at most the slots of one item
         F.count(F.lit(1)).alias("n_slots"),
         F.count_if(F.col("own") != F.col("image")).alias("n_changed"),
     )
-    checked = hits.join(images, ["doc_id", "item_id"], "left").withColumn(
-        "agrees", F.forall(F.arrays_zip("own", "slots"), lambda s: F.try_element_at("image", s["own"]) == s["slots"])
-    )
-    sums = checked.where("agrees").groupBy("doc_id", "item_id").agg(
-        F.countDistinct("at").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
+    checked = hits.join(images, ["doc_id", "item_id", "spot"], "left").withColumn("same", F.col("own") == F.col("slots"))
+    checked = checked.withColumn(
+        "agrees", F.col("same") | F.forall(F.arrays_zip("own", "slots"), lambda s: F.try_element_at("image", s["own"]) == s["slots"])
     )
+    sums = checked.where("agrees").groupBy("doc_id", "item_id", "spot").agg(
+        F.countDistinct("at").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"),
+        F.countDistinct(F.when(F.col("same"), F.col("at"))).alias("n_same"),
+    )
+    rank = F.struct("n_windows", "n_same", -F.coalesce(F.col("n_changed"), F.lit(0)))
+    sums = sums.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_slots", "n_changed"), rank).alias("best")).select("doc_id", "item_id", "best.*")
     out = sums.join(totals, "item_id").withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= share)
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast(T.LongType()).alias(c)
     changed = F.coalesce(F.col("n_changed"), F.lit(0)) > 0

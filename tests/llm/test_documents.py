@@ -261,6 +261,19 @@ def test_short_items_and_arithmetic_inside_texts(spark, make_docs):
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (8, 4)}
 
 
+def test_one_item_several_times_in_a_text(spark, make_docs):
+    rng = random.Random(17)
+    form = "a train leaves {} at {} km per hour and meets the bus from {} after {} hours so how far apart is the depot in {} from {} miles"
+    fills = [[rng.choice(["Oslo", "Rome", "Lima", "Bonn", "Kiev", "Cork"]) + rng.choice("abcdef") if k in (0, 2, 4) else rng.randrange(10, 10**6) for k in range(6)] for _ in range(61)]
+    fill = [" ".join(prose(rng, 40)) for _ in range(3)]
+    item = form.format(*fills[0])
+    texts = [f"{fill[0]} {form.format(*x)} {fill[1]} {form.format(*y)} {fill[2]}" for x, y in zip(fills[1:31], fills[31:])]
+    texts += [f"{fill[0]} {form.format(*x)} {fill[1]} {item} {fill[2]}" for x in fills[1:31]]
+    got = {r.doc_id: r for r in decontam.matches(make_docs(texts), bench(spark, [(1, item)])).collect()}
+    assert set(got) == set(range(60)) and all(r.share == 1 for r in got.values())
+    assert all(got[i].kind == ("changed" if i < 30 else "exact") for i in got)
+
+
 def test_planted_benchmark_items_are_found(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()}
