@@ -6,7 +6,8 @@ import math
 import re
 import string
 import zlib
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,7 +114,8 @@ def _marks(docs: list[tuple[list[str], int]]) -> tuple[set[str], set[str]]:
     tested = max(len(seen), 1)
     del seen
     of = {w: [f for f in _features(w) if f in known] for w in set(cores.values())}
-    around: tuple[dict[str, set[int]], ...] = (defaultdict(set), defaultdict(set))
+    index = {f: i for i, f in enumerate(sorted(known))}
+    around = (array("Q"), array("Q"))  # feature and neighbours in one number: 8 bytes a place
     weight = [set(), set()]
     for tokens, y in docs:
         words = [cores[t] for t in tokens]
@@ -127,8 +129,9 @@ def _marks(docs: list[tuple[list[str], int]]) -> tuple[set[str], set[str]]:
                     place = zlib.crc32(f"{before} {after}".encode())
                     done.update(new)
                     for f in new:
-                        around[y][f].add(place)
-    toxic, clean = ({f: len(p) for f, p in x.items()} for x in (around[1], around[0]))
+                        around[y].append(index[f] << 32 | place)
+    counts = [np.bincount((np.unique(np.frombuffer(x, np.uint64)) >> np.uint64(32)).astype(np.int64), minlength=len(index)).tolist() for x in around]
+    toxic, clean = ({f: n for f, n in zip(index, c) if n} for c in (counts[1], counts[0]))
     share = len(weight[1]) / max(1, len(weight[0]) + len(weight[1]))
     bar = math.log(tested) + 4.6  # one false mark in a hundred fits
     marks = set()
@@ -153,7 +156,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = 15, rate: float = 0.3, seed:
     """A tagger from (text, toxic 0/1) pairs, without document weights. Tokens are labelled from the documents: those of a
     toxic text that have a mark. Without any mark the unary weights stay 0.
     """
-    docs = [(t.split(), int(y)) for t, y in rows]
+    once: dict[str, str] = {}  # equal tokens are one object, as whole texts must fit the driver
+    docs = [([once.setdefault(w, w) for w in t.split()], int(y)) for t, y in rows]
+    del once
     marks, known = _marks(docs)
     rng = np.random.default_rng(seed)
     hot, cold = [], []
