@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat, decontam, langid, packing, pii, quality, simhash, substring, toxicity, warc
+from meterlake.llm import chat, decontam, langid, mining, mixing, packing, pii, quality, simhash, spelling, substring, toxicity, warc
 from meterlake.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,79 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = mining.prepared(table(spark, folder, "embeddings"), label)
+    return mining.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL_TEXT["op12_hard_negatives"] = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS other, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND b.vec_id != a.vec_id
+), positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE label != anchor_label AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@_query
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Marks in full order in place of histograms; sources are compared in whole numbers.
+SQL_TEXT["op13_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS mark
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT a.source, a.source_size, a.weight,
+    (SELECT sum(least(3::HUGEINT * a.source_size * b.weight, 3::HUGEINT * b.source_size * a.weight)) FROM sources b)
+      < a.weight::HUGEINT * (SELECT sum(source_size) FROM sources) AS filled
+  FROM sources a
+), rest AS (
+  SELECT CAST(sum(source_size) - coalesce(sum(3 * source_size) FILTER (filled), 0) AS DOUBLE) AS words,
+    CAST(coalesce(sum(weight) FILTER (NOT filled), 1) AS DOUBLE) AS among FROM levels
+), goals AS (
+  SELECT source, source_size, CASE WHEN filled THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight AS DOUBLE) * words / among END AS target
+  FROM levels, rest
+), budgets AS (
+  SELECT *, CAST(floor(target / source_size) AS BIGINT) AS copies, target - CAST(floor(target / source_size) AS BIGINT) * source_size AS left_over
+  FROM goals WHERE source_size > 0
+), marks AS (
+  SELECT source, mark, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY mark) AS upto FROM sized GROUP BY source, mark
+), cuts AS (
+  SELECT b.source, copies, CASE WHEN upto - left_over < left_over - (upto - n) THEN mark ELSE mark - 1 END AS cut
+  FROM budgets b JOIN marks m ON b.source IS NOT DISTINCT FROM m.source WHERE upto > left_over AND upto - n <= left_over
+)
+SELECT doc_id, size, source_size, target, CAST(size * least(3, coalesce(copies + CASE WHEN mark <= cut THEN 1 ELSE 0 END, 0)) AS BIGINT) AS taken
+FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
