@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -144,3 +145,66 @@ def forest_scores(trees: list[np.ndarray], sample: float, x: np.ndarray) -> np.n
     """2 to the minus mean depth over the expected depth: near 1 is easy to isolate."""
     depth = np.mean([tree_depths(t, x) for t in trees], axis=0)
     return 2.0 ** (-depth / max(path_norm(sample), 1e-9))
+
+
+@dataclass
+class LeafBox:
+    """A leaf as the conditions on its path: low < x <= high for each of its features, once each.
+
+    ``passed`` is the share of rows that the splits on that feature let through, ``share`` that of all rows here.
+    """
+
+    value: float
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    passed: np.ndarray
+    share: float
+
+
+def leaf_boxes(feature: np.ndarray, cut: np.ndarray, value: np.ndarray, cover: np.ndarray, depth: int) -> list[LeafBox]:
+    """The leaves of a full binary tree (children 2 i + 1 and 2 i + 2) that rows reached.
+
+    A split that parts no rows must send every row to the same side, as those of a fit do; it is left out.
+    """
+    out = []
+    todo = [(0, {}, 1.0)]
+    while todo:
+        node, path, share = todo.pop()
+        if node >= 2**depth - 1:
+            cells = sorted(path.items())
+            out.append(LeafBox(float(value[node - (2**depth - 1)]), np.array([f for f, _ in cells], int), *(np.array([c[i] for _, c in cells], float) for i in range(3)), share))
+            continue
+        children = (2 * node + 1, 2 * node + 2)
+        for side, child in enumerate(children):
+            if not cover[child]:
+                continue
+            if cover[child] == cover[node]:
+                todo.append((child, path, share))
+                continue
+            low, high, passed = path.get(int(feature[node]), (-np.inf, np.inf, 1.0))
+            part = cover[child] / cover[node]
+            at = (low, min(high, cut[node]), passed * part) if side == 0 else (max(low, cut[node]), high, passed * part)
+            todo.append((child, path | {int(feature[node]): at}, share * part))
+    return out
+
+
+def path_shapley(boxes: list[LeafBox], x: np.ndarray, width: int) -> np.ndarray:
+    """Shapley values of every row and feature for the sum of the leaves.
+
+    In a game over the features of one path, a known feature lets the row through or not (0 or 1), an unknown one lets
+    its share through. The sums over coalitions by size are the coefficients of a product of linear terms.
+    """
+    phi = np.zeros((len(x), width))
+    for b in boxes:
+        m = len(b.features)
+        inside = ((x[:, b.features] > b.low) & (x[:, b.features] <= b.high)).astype(float)
+        weight = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+        for i in range(m):
+            sums = np.zeros((len(x), m))
+            sums[:, 0] = 1.0
+            for j in (j for j in range(m) if j != i):
+                sums[:, 1:] = sums[:, 1:] * b.passed[j] + sums[:, :-1] * inside[:, j : j + 1]
+                sums[:, 0] *= b.passed[j]
+            phi[:, b.features[i]] += b.value * (inside[:, i] - b.passed[i]) * (sums @ weight)
+    return phi

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.sources.storage import settle
+
 
 def _order(columns: Sequence[str], descending: bool = False) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
@@ -125,15 +127,28 @@ def _cut_again(rows: DataFrame, keys: Sequence[str], wanted: list[Column], cuts:
     return kept.withColumns({"_off": F.col("_new"), "_g": F.col("_g") * cuts + F.col("_vb")}).drop("_new", "_vb")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: dict[str, float], cuts: int = 64, levels: int = 2) -> DataFrame:
+#: A key's distinct values are put in order in one task if there are at most so many.
+PIECE = 1 << 15
+
+
+def quantiles(
+    df: DataFrame, keys: Sequence[str], column: str, points: dict[str, float], cuts: int = 64, levels: int | None = None, piece: int = PIECE
+) -> DataFrame:
     """Exact interpolated quantiles per key; no group's values meet in one aggregation buffer.
 
-    A bounded sketch cuts each key's values into about equal buckets; bucket counts say which buckets hold a wanted
-    rank, and only those are kept and cut again. What is ordered in the end is about a ``cuts ** levels``-th part of
-    a key for each point. Null keys are a key; null values are left out.
+    Equal values are counted once and written. While a key may have more than ``piece`` distinct values, a bounded
+    sketch cuts each key's values into about equal buckets; bucket counts say which buckets hold a wanted rank, and
+    only those are kept and cut again. The number of cuts follows the largest key unless ``levels`` says it; the
+    result is the same. Null keys are a key; null values are left out.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_total"))
+    counted = settle(counted, "values")
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_total"), F.count(F.lit(1)).alias("_values"))
+    if levels is None:
+        most, levels = totals.agg(F.max("_values")).first()[0] or 0, 0
+        while most > piece:
+            most, levels = most / cuts, levels + 1
+    totals = totals.drop("_values")
     rows = join_null_safe(counted, totals, list(keys)) if keys else counted.withColumn("_total", totals.scalar())
     rows = rows.withColumns({"_g": F.lit(0).cast("bigint"), "_off": F.lit(0).cast("bigint")})
     place = {n: F.lit(p) * (F.col("_total") - 1) for n, p in points.items()}

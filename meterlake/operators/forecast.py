@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.scaling import quantiles, running
 
+EARTH_KM = 6371.0  # fixed value
+
 
 def _by_zone() -> Window:
     """One row per zone and day (or slot): the calendar bounds each partition."""
@@ -199,4 +201,4 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     a = F.pow(F.sin((lat2 - lat1) * (rad / 2)), F.lit(2.0)) + F.cos(lat1 * rad) * F.cos(lat2 * rad) * F.pow(
         F.sin((lon2 - lon1) * (rad / 2)), F.lit(2.0)
     )
-    return F.lit(2 * 6371.0) * F.asin(F.sqrt(a))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.kernels import Changepoints, forest_scores, grow_tree
-from meterlake.operators import forecast
+from meterlake.operators import boosting, forecast
 from meterlake.sources.storage import settle, stored
 
 
@@ -33,8 +34,13 @@ class IsolationForest:
 
     def fit(self, normal: DataFrame, key: Sequence[str], vector: str) -> IsolationForest:
         trees, sample, extension, seed = self.trees, self.sample, self.extension, self.seed
-        # a hash order is a random sample that a repeated task draws again; the limit is a bounded top-k
-        pool = normal.select(F.xxhash64(F.lit(seed), *key).alias("_h"), vector).orderBy("_h").limit(trees * sample)
+        # a hash order is a random sample that a repeated task draws again; a bound on the hash, from the count, keeps
+        # all but about the wanted rows out of the ordering
+        most = trees * sample
+        hashed = normal.select(F.xxhash64(F.lit(seed), *key).alias("_h"), vector)
+        part = min(1.0, (most + 8 * math.sqrt(most)) / max(1, hashed.count()))
+        low = F.col("_h") <= F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64)))
+        pool = hashed.where(low).orderBy("_h").limit(most)
         have = pool.groupBy().agg(F.count(F.lit(1))).scalar()
         copies = F.ceil(F.lit(trees * sample) / have).cast("int")
         dealt = pool.withColumn("_n", copies).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
@@ -123,7 +129,7 @@ def importances(spark, model, features: list[str], top: int = 12) -> DataFrame:
 def _isotonic(train: DataFrame, score: str, label: str, out: str):
     """Isotonic fit on one weighted row per distinct score, so what it pools is as small as the scores allow."""
     rows = train.groupBy(score).agg(F.avg(label).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_w", predictionCol=out).fit(rows)
+    return stored(IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_w", predictionCol=out).fit(rows), "isotonic")
 
 
 def calibrate(df: DataFrame, score: str, label: str, out: str, key: str = "alert_id", folds: int = 5) -> DataFrame:
@@ -147,8 +153,16 @@ META_FEATURES = [
 
 
 def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], label: str, c: float = 0.1, folds: int = 5) -> DataFrame:
-    """Logistic regression over detector columns (nulls are 0), calibrated by an isotonic map of its score."""
-    base = settle(labelled.fillna(0, features), "meta")
+    """Logistic regression over detector columns (nulls are 0), calibrated by an isotonic map of its score.
+
+    Every fitted model is stored and the held-out scores are written before the isotonic fit reads them, so no fit
+    carries another one's plan or training summary into its tasks. With rows of one label only, the probability is
+    that label; without labelled rows it is null.
+    """
+    base = settle(labelled.fillna(0, features).withColumn(label, F.col(label).cast("double")).select(*features, label), "meta")
+    seen = [r[0] for r in base.select(label).distinct().collect()]
+    if len(seen) < 2:
+        return rows.withColumn("theft_probability", F.lit(seen[0] if seen else None).cast("double"))
     put = VectorAssembler(inputCols=features, outputCol="_x")
     train = put.transform(base)
     # the penalty of a sum of losses, 1 / (2 C), becomes 1 / (C n) for MLlib's mean loss
@@ -156,8 +170,8 @@ def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], l
     model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), maxIter=100).fit(train)
     model = stored(model, "meta-model")
 
-    def raw(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("_p", vector_to_array("probability")[1])
+    def raw(own, df: DataFrame) -> DataFrame:
+        return own.transform(df).withColumn("_p", vector_to_array("probability")[1])
 
     # out-of-fold scores: a calibration on the fitted rows would trust them too much
     held = []
@@ -166,10 +180,11 @@ def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], l
         rest, part = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)
         if rest.select(label).distinct().count() == 2:
             own = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), maxIter=100).fit(rest)
-            held.append(own.transform(part).select(vector_to_array("probability")[1].alias("_p"), F.col(label).cast("double").alias("_label")))
-    fitted = functools.reduce(DataFrame.unionByName, held) if held else raw(train).select("_p", F.col(label).cast("double").alias("_label"))
+            held.append(raw(stored(own, "meta-fold"), part))
+    scored = functools.reduce(DataFrame.unionByName, held) if held else raw(model, train)
+    fitted = settle(scored.select("_p", F.col(label).alias("_label")), "held-out")
     iso = _isotonic(fitted, "_p", "_label", "theft_probability")
-    scored = iso.transform(raw(put.transform(rows.fillna(0, features))))
+    scored = iso.transform(raw(model, put.transform(rows.fillna(0, features))))
     return scored.drop("_x", "_p", "rawPrediction", "probability", "prediction")
 
 
@@ -226,6 +241,21 @@ def median_forecast(forecasts: DataFrame, iterations: int = 180, depth: int = 3,
     return model.transform(ready).withColumn("p50", F.greatest("prediction", F.lit(0.0))).drop("features", "prediction", "zone_index")
 
 
+def _zone_numbers(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """Zones as numbers in order of their mean demand, so that one cut parts small zones from large ones."""
+    order = train.groupBy("zone").agg(F.avg("actual_mw").alias("_m"))
+    numbered = order.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("_m", "zone"))), lambda z: z["zone"])).scalar()  # one entry a zone
+    return rows.withColumn("zone_number", F.array_position(numbered, F.col("zone")).cast("double"))
+
+
+def boosted_quantiles(forecasts: DataFrame, quantiles: Sequence[float] = (0.1, 0.5, 0.9), **settings) -> tuple[boosting.QuantileTrees, DataFrame]:
+    """Trees that lower the pinball loss of each quantile, fitted on the earlier 80 %; the rows with p10, p50 and p90."""
+    rows = _demand_rows(forecasts)
+    ready = _zone_numbers(rows, rows.where("is_train"))
+    model = boosting.fit_quantiles(ready.where("is_train"), [*FORECAST_NUMBERS, "zone_number"], "actual_mw", quantiles, **settings)
+    return model, model.predict(ready, [f"p{round(100 * q)}" for q in quantiles])
+
+
 def quantile_forecast(predicted: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Median plus the zone's residual quantiles of the calibration rows, sorted so that the three never cross."""
     from meterlake.functions.scaling import quantiles

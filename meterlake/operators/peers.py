@@ -72,23 +72,107 @@ def affinities(distances: DataFrame) -> DataFrame:
     return distances.withColumn("affinity", F.exp(-d * d / (2 * sigma * sigma)))
 
 
-def group_by_affinity(affinity: DataFrame, groups: int, seed: int = 42) -> DataFrame:
-    """Spectral grouping by landmarks (Chen and Cai 2011): each meter is its row of affinities to the landmarks.
+def landmark_rows(affinity: DataFrame) -> DataFrame:
+    """(meter_id, _v): each meter's affinities to the landmarks, scaled to sum 1, and columns by the root of their sum.
 
-    Rows are scaled to sum 1 and columns by the root of their sum; the main components of that meter-landmark
-    matrix are clustered. Everything is linear in meters; a row has as many entries as there are landmarks.
+    With Z the matrix of these rows, Z Z' is the normalised affinity of all meters through the landmarks (Chen and
+    Cai 2011); it is never made. A row has as many entries as there are landmarks.
     """
     total = affinity.groupBy("meter_id").agg(F.sum("affinity").alias("_r"))
     cells = affinity.join(total, "meter_id").select("meter_id", "landmark_id", (F.col("affinity") / F.col("_r")).alias("z"))
     column = cells.groupBy("landmark_id").agg(F.sum("z").alias("_c"))
     cells = cells.join(column, "landmark_id").withColumn("z", F.col("z") / F.sqrt("_c"))
     rows = cells.groupBy("meter_id").agg(F.sort_array(F.collect_list(F.struct("landmark_id", "z"))).alias("_z"))
-    rows = settle(rows.select("meter_id", array_to_vector(F.transform("_z", lambda c: c["z"])).alias("_v")), "affinity")
+    return settle(rows.select("meter_id", F.transform("_z", lambda c: c["z"]).alias("_v")), "affinity")
+
+
+def group_by_affinity(affinity: DataFrame, groups: int, seed: int = 42) -> DataFrame:
+    """Spectral grouping by landmarks: the main components of the meter-landmark matrix are clustered."""
+    rows = landmark_rows(affinity).select("meter_id", array_to_vector("_v").alias("_v"))
     main = stored(PCA(k=groups, inputCol="_v", outputCol="_u").fit(rows), "components").transform(rows)
     model = stored(KMeans(k=groups, seed=seed, featuresCol="_u", predictionCol="cluster").fit(main), "groups")
     return model.transform(main).select("meter_id", "cluster")
 
 
+def laplacian_spectrum(affinity: DataFrame) -> np.ndarray:
+    """Eigenvalues of the normalised Laplacian of all meters, smallest first, as far as the landmarks carry them.
+
+    The non-zero eigenvalues of Z Z' are those of the small Z' Z, a sum over rows: tasks add up their part, and one
+    aggregate by cell ends it. What reaches the driver is a matrix of landmarks by landmarks.
+    """
+    rows = landmark_rows(affinity)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                z = np.vstack(b["_v"])
+                i, j = np.triu_indices(z.shape[1])
+                yield pd.DataFrame({"i": i, "j": j, "s": (z.T @ z)[i, j]})
+
+    cells = rows.mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    if not len(cells):
+        return np.zeros(0)
+    gram = np.zeros((cells["i"].max() + 1,) * 2)
+    gram[cells["i"], cells["j"]] = gram[cells["j"], cells["i"]] = cells["s"]
+    return np.sort(1 - np.clip(np.linalg.eigvalsh(gram), 0, 1))
+
+
+def group_count_by_gap(affinity: DataFrame, least: int = 5, most: int = 40) -> DataFrame:
+    """Laplacian eigenvalues, the gap after each, and the number of groups: where the gap is largest, within bounds.
+
+    A fixed number of landmarks shows at most as many groups; take more of them than ``most``. Without meters no rows.
+    """
+    values = laplacian_spectrum(affinity)
+    gaps = np.diff(values[: most + 1])
+    chosen = int(np.clip(int(np.argmax(gaps)) + 1, least, most)) if len(gaps) else 0
+    rows = [(k + 1, float(v), float(gaps[k]) if k < len(gaps) else None, k + 1 == chosen) for k, v in enumerate(values[: most + 1])]
+    return affinity.sparkSession.createDataFrame(rows, "k int, eigenvalue double, gap double, best boolean")
+
+
+def nearest_links(affinity: DataFrame, nearest: int) -> DataFrame:
+    """The sparse graph of each meter and its ``nearest`` landmarks, weighted by affinity; a window sees one row a landmark."""
+    order = Window.partitionBy("meter_id").orderBy(F.desc("affinity"), "landmark_id")
+    return affinity.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= nearest).select("meter_id", "landmark_id", F.col("affinity").alias("w"))
+
+
+def power_iteration_groups(affinity: DataFrame, groups: int, nearest: int = 6, starts: int = 4, rounds: int = 15, seed: int = 42) -> DataFrame:
+    """Power iteration clustering (Lin and Cohen 2010) on the meter-landmark graph, each step two joins.
+
+    A value per meter goes over the links to the landmarks and back, each time as a weighted mean. After some steps
+    meters of a group hold about the same value, while groups still differ; several starts keep groups apart that one
+    start would show alike. The starts are hashes of the id, so reruns agree. Every step is written.
+    """
+    links = settle(nearest_links(affinity, nearest), "links")
+    at = [f"x{i}" for i in range(starts)]
+    size = F.lit(float(2**32))
+    now = links.select("meter_id").distinct().withColumns({c: F.pmod(F.xxhash64("meter_id", F.lit(seed + i)), size.cast("bigint")) / size for i, c in enumerate(at)})
+
+    def mean(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in at])
+
+    for _ in range(rounds):
+        there = mean(links.join(now, "meter_id"), "landmark_id")
+        now = settle(mean(links.join(there, "landmark_id"), "meter_id"), "power")
+    # what a walk forgets last is what tells groups apart, however small it has become
+    stats = now.groupBy().agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in at], *[F.stddev_pop(c).alias(f"s_{c}") for c in at])).scalar()
+    scaled = [F.when(stats[f"s_{c}"] > 0, (F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"]).otherwise(0.0) for c in at]
+    rows = settle(now.select("meter_id", array_to_vector(F.array(*scaled)).alias("_u")), "power")
+    model = stored(KMeans(k=groups, seed=seed, featuresCol="_u", predictionCol="cluster").fit(rows), "groups")
+    return model.transform(rows).select("meter_id", "cluster")
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str = "meter_id", label: str = "cluster") -> DataFrame:
+    """Adjusted Rand index of two groupings of the same keys, from the counts of label pairs; 1 is the same grouping."""
+    both = a.select(key, F.col(label).alias("_a")).join(b.select(key, F.col(label).alias("_b")), key).groupBy("_a", "_b").count()
+    pairs = lambda n: F.sum(n * (n - 1) / 2)
+    n = F.col("count")
+    cells = both.groupBy().agg(pairs(n).alias("together"), F.sum(n).alias("rows"))
+    rows = both.groupBy("_a").agg(F.sum("count").alias("count")).groupBy().agg(pairs(n)).scalar()
+    columns = both.groupBy("_b").agg(F.sum("count").alias("count")).groupBy().agg(pairs(n)).scalar()
+    expected = rows * columns / F.nullif(F.col("rows") * (F.col("rows") - 1) / 2, F.lit(0.0))
+    return cells.select("rows", ((F.col("together") - expected) / F.nullif((rows + columns) / 2 - expected, F.lit(0.0))).alias("adjusted_rand"))
+
+
 def group_count_sweep(profiles: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
     """Silhouette per number of groups, and the best one."""
     rows = settle(profiles.select("meter_id", array_to_vector("profile").alias("features")), "profiles")

@@ -86,6 +86,11 @@ def _(v):
 
 
 @query("n3_quantile_forecast", "zone forecast_date:s actual_mw:d p10:d p50:d p90:d is_train:b")
+def _(v):
+    return models.boosted_quantiles(v.forecasts)[1]
+
+
+@query("n3_residual_quantiles", "zone forecast_date:s actual_mw:d p10:d p50:d p90:d is_train:b")
 def _(v):
     return models.quantile_forecast(settle(models.median_forecast(v.forecasts), "median"))
 
@@ -259,6 +264,16 @@ def _(v):
     return rows.select("alert_id", (F.col("p") + 1).alias("place"), "s.*")
 
 
+@query("n16_tree_contributions", "zone forecast_date:s p50:d base_value:d raw_prediction:d place:i feature value:d shap_value:d9 direction")
+def _(v):
+    """Why the fitted median is what it is, for the rows it was not fitted on."""
+    model, rows = models.boosted_quantiles(v.forecasts)
+    out = model.contributions(rows.where("NOT is_train"), 0.5)
+    return out.select("zone", "forecast_date", "p50", "base_value", "raw_prediction", F.posexplode("shap").alias("place", "s")).select(
+        "zone", "forecast_date", "p50", "base_value", "raw_prediction", (F.col("place") + 1).alias("place"), "s.*"
+    )
+
+
 NAMES_SQL = "CASE feature " + " ".join(
     "WHEN '{}' THEN '{}'".format(k, n.replace("'", "''")) for k, n in X.FEATURE_NAMES.items()
 ) + " ELSE replace(feature, '_', ' ') END"

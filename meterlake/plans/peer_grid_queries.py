@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterlake.operators import grid, joins, peers, rollup
+from meterlake.operators import grid, joins, nearest, peers, rollup
 from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, HOUR_COLS, PIVOT_SQL, current_topology
 from meterlake.plans.rollup_queries import REPORT, loads, zones
@@ -95,6 +95,18 @@ def _(v):
     return peers.group_by_affinity(peers.affinities(settle(d, "distances")), 5)
 
 
+@query("h5_power_iteration_groups", "meter_id:i cluster:i")
+def _(v):
+    d = peers.landmark_distances(peers.profile_vectors(profile_rows(v)))
+    return peers.power_iteration_groups(peers.affinities(settle(d, "distances")), 5)
+
+
+@query("h6_eigengap", "k:i eigenvalue:d gap:d best:b")
+def _(v):
+    d = peers.landmark_distances(peers.profile_vectors(profile_rows(v)), 64)
+    return peers.group_count_by_gap(peers.affinities(settle(d, "distances")))
+
+
 @query("h6_group_count_sweep", "k:i silhouette:d best:b")
 def _(v):
     return peers.group_count_sweep(v.profiles, list(range(5, 41)))
@@ -371,6 +383,26 @@ def _(v):
     return legs.join(total, "zone")
 
 
+@query(
+    "j10_nearest_site",
+    "zone alert_id:i meter_id:i nearest_meter:i nearest_km:d",
+    """WITH sites AS (SELECT DISTINCT a.zone, a.meter_id, latitude, longitude FROM alerts a JOIN meters m ON m.meter_id = a.meter_id WHERE status IN ('Open', 'Investigating')),
+    pairs AS (SELECT s.zone, s.meter_id, o.meter_id AS nearest_meter, round(2 * 6371 * asin(least(1, sqrt(pow(sin(radians(o.latitude - s.latitude) / 2), 2)
+    + cos(radians(s.latitude)) * cos(radians(o.latitude)) * pow(sin(radians(o.longitude - s.longitude) / 2), 2)))), 9) AS nearest_km
+    FROM sites s JOIN sites o ON o.zone = s.zone AND o.meter_id <> s.meter_id),
+    best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY zone, meter_id ORDER BY nearest_km, nearest_meter) = 1)
+    SELECT a.zone, a.alert_id, a.meter_id, nearest_meter, nearest_km FROM alerts a JOIN sites s ON s.zone = a.zone AND s.meter_id = a.meter_id
+    LEFT JOIN best b ON b.zone = a.zone AND b.meter_id = a.meter_id WHERE status IN ('Open', 'Investigating')""",
+    "alerts meters",
+)
+def _(v):
+    stops = rollup.open_alerts(v.alerts).select("zone", "alert_id", "meter_id")
+    stops = stops.join(v.meters.select("meter_id", "latitude", "longitude"), "meter_id")
+    near = nearest.nearest_other(stops, ["zone"], "meter_id")
+    near = near.select("zone", "meter_id", F.col("nearest").alias("nearest_meter"), F.col("km").alias("nearest_km"))
+    return stops.join(near, ["zone", "meter_id"])
+
+
 @query(
     "j11_hierarchy_descent",
     "depth:i node meters:i transformers:i kwh:d4 input_kwh:d4 loss_ratio:d",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterlake.functions.scaling import quantiles
-from meterlake.operators import anomaly, audit, features, joins, models, quality, rollup
+from meterlake.operators import anomaly, audit, features, grid, joins, models, quality, rollup
 from meterlake.plans import reports
 from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, changes, current_topology, daily
 from meterlake.plans.rollup_queries import REPORT
+from meterlake.sources.storage import settle
 
 LABELLED = {
     "labelled": (
@@ -81,9 +82,7 @@ def _(v):
 
 @query("i6_reconstruction_error", "meter_id:i date:s recon_error:d is_anomaly:b")
 def _(v):
-    cells = [F.col(c) for c in rollup.HOURS]
-    rows = rollup.hour_pivot(v.readings).select("meter_id", "date", F.array(*cells).alias("profile"))
-    scored = models.reconstruction_errors(rows, "profile", 16)
+    scored = reconstructed(v)
     theft = v.readings.where("is_theft_flag").select("meter_id", F.to_date("timestamp").alias("date")).distinct()
     # the cut comes from days without a known theft
     cut = anomaly.threshold(scored.join(theft, ["meter_id", "date"], "left_anti"), "recon_error", 0.99)
@@ -126,22 +125,51 @@ def _(v):
     return rows.orderBy(F.desc(F.round("blended", 9)), "meter_id", "date").limit(500)
 
 
+def reconstructed(v):
+    cells = [F.col(c) for c in rollup.HOURS]
+    rows = rollup.hour_pivot(v.readings).select("meter_id", "date", F.array(*cells).alias("profile"))
+    return models.reconstruction_errors(rows, "profile", 16)
+
+
+def detector_columns(v):
+    """The nine detector outputs of each meter: reconstruction, isolation, changepoint, neighbours, feeder balance, peers,
+    load factor, night share and flatline. A detector that has nothing to say of a meter leaves a null."""
+    slots = settle(v.hourly.select("meter_id", "hour_ts", "kwh"), "hours")
+    per_meter = lambda df, c, name: df.groupBy("meter_id").agg(F.avg(c).alias(name))
+    forest = models.IsolationForest().fit(normal_vectors(v), ["meter_id", "date"], "vector")
+    breaks = models.changepoints(slots, "meter_id", "hour_ts", "kwh")
+    days = reports.meter_days(slots, v.meters).groupBy("meter_id").agg(
+        F.avg("peer_z").alias("peer_z_score"), F.avg("load_factor").alias("load_factor_day"), F.avg("night_ratio").alias("night_ratio")
+    )
+    flat = features.rolling(slots, "kwh", [4]).groupBy("meter_id").agg(F.max((F.col("roll_std_4") < 0.01).cast("double")).alias("is_flatline"))
+    gaps = grid.neighbour_means(v.profiles, current_topology(v)).groupBy("meter_id").agg(F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("gnn_node_score"))
+    loss = joins.feeder_balance(slots, current_topology(v), v.feeder_readings).groupBy("feeder_id").agg(F.avg("upstream_loss_ratio").alias("gnn_balance_score"))
+    parts = [
+        per_meter(reconstructed(v), "recon_error", "vae_score"),
+        per_meter(forest.score(vectors(v), "vector", "isolation"), "isolation", "eif_score"),
+        breaks.groupBy("meter_id").agg(F.lit(1.0).alias("bocpd_detected")),
+        gaps,
+        current_topology(v).select("meter_id", "feeder_id").distinct().join(loss, "feeder_id").groupBy("meter_id").agg(F.avg("gnn_balance_score").alias("gnn_balance_score")),
+        days,
+        flat,
+    ]
+    out = v.meters.select("meter_id")
+    for part in parts:
+        out = out.join(part, "meter_id", "left")
+    return settle(out, "detectors")
+
+
+@query("i10_detector_columns", "meter_id:i vae_score:d eif_score:d bocpd_detected:d gnn_node_score:d gnn_balance_score:d peer_z_score:d load_factor_day:d night_ratio:d is_flatline:d")
+def _(v):
+    return detector_columns(v)
+
+
 @query("i10_meta_classifier", "alert_id:i theft_probability:d")
 def _(v):
-    def nine(df):
-        return df.withColumns(
-            {
-                "bocpd_detected": F.col("bocpd_flag").cast("double"),
-                "gnn_node_score": F.col("gnn_score"),
-                "gnn_balance_score": F.lit(None).cast("double"),
-                "peer_z_score": F.col("anomaly_score") - 0.5,
-                "load_factor_day": F.col("vae_score") * F.col("gnn_score"),
-                "night_ratio": F.col("eif_score") - F.col("gnn_score"),
-                "is_flatline": (F.col("vae_score") < 0.05).cast("double"),
-            }
-        )
-
-    return models.meta_classifier(nine(labelled(v)), nine(v.alerts), models.META_FEATURES, "label")
+    nine = detector_columns(v)
+    scored = v.alerts.drop("vae_score", "eif_score").join(nine, "meter_id", "left")
+    label = audit.training_labels(v.feedback).select("alert_id", "label")
+    return models.meta_classifier(scored.join(label, "alert_id"), scored, models.META_FEATURES, "label")
 
 
 @query(

@@ -29,6 +29,40 @@ def test_dtw_equals_the_plain_recursion():
     assert np.allclose(dtw(a, a), 0)
 
 
+def meta_rows(spark, n=600):
+    """Two of the nine detectors tell theft; one column is null throughout, as a detector without an opinion leaves it."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 9))
+    p = 1 / (1 + np.exp(-(3 * x[:, 0] + 3 * x[:, 5])))
+    rows = [(i, *[None if j == 4 else float(v) for j, v in enumerate(r)], int(rng.random() < q)) for i, (r, q) in enumerate(zip(x, p))]
+    return spark.createDataFrame(rows, ", ".join(["id bigint", *[f"{c} double" for c in models.META_FEATURES], "label int"]))
+
+
+def test_meta_classifier_ranks_and_calibrates(spark):
+    df = meta_rows(spark)
+    out = models.meta_classifier(df.where("id % 2 = 0"), df.where("id % 2 = 1"), models.META_FEATURES, "label").toPandas()
+    assert len(out) == 300 and out["theft_probability"].between(0, 1).all()
+    ranks = out["theft_probability"].rank()
+    pos = out["label"] == 1
+    auc = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert auc > 0.9
+    for low, high in ((0, 0.3), (0.7, 1.01)):
+        part = out[out["theft_probability"].between(low, high, inclusive="left")]
+        assert abs(part["theft_probability"].mean() - part["label"].mean()) < 0.12
+    again = models.meta_classifier(df.where("id % 2 = 0"), df.where("id % 2 = 1"), models.META_FEATURES, "label").toPandas()
+    # sums of the fit may be added in another order; a score at the edge of a step may then change it
+    gaps = np.abs(out.sort_values("id")["theft_probability"].to_numpy() - again.sort_values("id")["theft_probability"].to_numpy())
+    assert (gaps < 1e-6).mean() > 0.97
+
+
+def test_meta_classifier_with_one_label_or_none(spark):
+    df = meta_rows(spark, 40).withColumn("label", F.lit(1))
+    one = models.meta_classifier(df, df, models.META_FEATURES, "label").toPandas()
+    assert (one["theft_probability"] == 1).all()
+    none = models.meta_classifier(df.where("false"), df, models.META_FEATURES, "label").toPandas()
+    assert none["theft_probability"].isna().all() and len(none) == 40
+
+
 def series(shift_at=None, n=400, seed=3):
     rng = np.random.default_rng(seed)
     x = rng.normal(10, 1, n)

@@ -48,9 +48,10 @@ def test_neighbours(spark, rows):
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_quantiles(spark, rows, keys):
+@pytest.mark.parametrize("piece", [1 << 15, 60, 3])
+def test_quantiles(spark, rows, keys, piece):
     points = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
-    got = quantiles(spark.createDataFrame(rows), keys, "x", points, cuts=8).toPandas()
+    got = quantiles(spark.createDataFrame(rows), keys, "x", points, cuts=8, piece=piece).toPandas()
     groups = [((), rows)] if not keys else list(rows.groupby("k"))
     assert len(got) == len(groups)
     for key, part in groups:
