@@ -75,4 +75,5 @@ def load_all() -> None:
         score_queries,
         forecast_queries,
         stream_queries,
+        structure_queries,
     )
