@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from meterlake.functions import text as X
 from meterlake.operators import anomaly, explain, features, forecast, joins, models
 from meterlake.plans import reports
+from meterlake.plans.base_queries import FILLED
 from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, daily
 from meterlake.plans.rollup_queries import REPORT
-from meterlake.sources.storage import settle
+from meterlake.sources.storage import read_dates, settle, shared_folder
+from meterlake.sources.views import SQL
 
 FC = {
     **REPORT,
@@ -429,7 +431,58 @@ def _(v):
     return explain.consumer_notice(rows, "change_pct")
 
 
-@query("e0_feature_table", "meter_id:i hour_ts:s kwh:d kwh_lag_168:d roll_mean_24:d load_factor_day:d z_vs_peer:d5 upstream_loss_ratio:d temp_c:d is_holiday:b tou_period")
+FEATURE_DAYS = ("2024-01-24", "2024-01-31")
+FEATURES_OF = {
+    **FLAGS,
+    **FILLED,
+    # as far back as the longest lag, and nothing after the range
+    "readings": (
+        SQL["readings"][0],
+        f"SELECT * FROM ({SQL['readings'][1]}) WHERE timestamp >= TIMESTAMP '{FEATURE_DAYS[0]}' - INTERVAL 42 DAY AND timestamp < TIMESTAMP '{FEATURE_DAYS[1]}'",
+    ),
+    "slots": (
+        "imputed",
+        f"""SELECT * FROM (SELECT meter_id, hour_ts, kwh, lag(kwh, 168) OVER w AS kwh_lag_168, lag(kwh, 1008) OVER w AS kwh_lag_1008,
+        avg(kwh) OVER (w ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS roll_mean_24,
+        CASE WHEN max(kwh) OVER d > 0 THEN avg(kwh) OVER d / max(kwh) OVER d END AS load_factor_day FROM imputed
+        WINDOW w AS (PARTITION BY meter_id ORDER BY hour_ts), d AS (PARTITION BY meter_id, CAST(hour_ts AS DATE)))
+        WHERE hour_ts >= TIMESTAMP '{FEATURE_DAYS[0]}' AND hour_ts < TIMESTAMP '{FEATURE_DAYS[1]}'""",
+    ),
+    "group_stats": (
+        "slots meters",
+        "SELECT peer_cluster_id, hour_ts, avg(kwh) AS m, stddev(kwh) AS s FROM slots JOIN meters USING (meter_id) WHERE peer_cluster_id IS NOT NULL GROUP BY 1, 2",
+    ),
+    "losses": (
+        "slots meters feeder_readings",
+        """SELECT f.feeder_id, f.timestamp AS hour_ts, CASE WHEN feeder_input_kwh > 0 THEN (feeder_input_kwh - billed) / feeder_input_kwh END AS upstream_loss_ratio
+        FROM feeder_readings f LEFT JOIN (SELECT feeder_id, hour_ts, sum(kwh) AS billed FROM slots JOIN meters USING (meter_id) GROUP BY 1, 2) b
+        ON b.feeder_id = f.feeder_id AND b.hour_ts = f.timestamp""",
+    ),
+    "zone_hours": ("weather", "SELECT zone_id, date_trunc('hour', timestamp) AS hour_ts, avg(temp_c) AS temp_c FROM weather GROUP BY 1, 2"),
+    "falls": (
+        "register",
+        """SELECT meter_id, date_trunc('hour', timestamp) AS hour_ts, bool_or(fell) AS fell FROM (SELECT *, cumulative_kwh < lag(cumulative_kwh)
+        OVER (PARTITION BY meter_id ORDER BY timestamp, reading_id) AS fell FROM register) GROUP BY 1, 2""",
+    ),
+}
+
+
+@query(
+    "e0_feature_table",
+    "meter_id:i hour_ts:s date:s kwh:d kwh_lag_168:d kwh_lag_1008:d roll_mean_24:d load_factor_day:d register_rollback:b z_vs_peer:d5 upstream_loss_ratio:d temp_c:d is_holiday:b tou_period",
+    """SELECT s.*, CAST(s.hour_ts AS DATE) AS date, coalesce(fell, false) AS register_rollback, CASE WHEN g.s > 0 THEN (kwh - g.m) / g.s END AS z_vs_peer, upstream_loss_ratio, temp_c,
+    coalesce(is_holiday, false) AS is_holiday, CASE WHEN hour(s.hour_ts) BETWEEN 6 AND 8 THEN 'normal' WHEN hour(s.hour_ts) BETWEEN 9 AND 17 THEN 'peak'
+    WHEN hour(s.hour_ts) BETWEEN 18 AND 21 THEN 'critical' ELSE 'off_peak' END AS tou_period
+    FROM slots s LEFT JOIN meters m ON m.meter_id = s.meter_id LEFT JOIN group_stats g ON g.peer_cluster_id = m.peer_cluster_id AND g.hour_ts = s.hour_ts
+    LEFT JOIN losses l ON l.feeder_id = m.feeder_id AND l.hour_ts = s.hour_ts LEFT JOIN zone_hours z ON z.zone_id = m.zone AND z.hour_ts = s.hour_ts
+    LEFT JOIN flags f ON f.date = CAST(s.hour_ts AS DATE) LEFT JOIN falls r ON r.meter_id = s.meter_id AND r.hour_ts = s.hour_ts""",
+    "slots group_stats losses zone_hours flags falls meters",
+    FEATURES_OF,
+)
 def _(v):
-    """The whole feature job over the last week, with its look-back."""
-    return reports.feature_table(v, "2024-01-24", "2024-01-31")
+    """The whole feature job over the last week with its look-back, written by date and read again."""
+    path = shared_folder(v.spark, "features")
+    rows = reports.write_feature_table(v, path, *FEATURE_DAYS)
+    out = read_dates(v.spark, path, "hour_ts", *FEATURE_DAYS)
+    # what was counted while writing is what stands there
+    return out.where(F.when(out.groupBy().agg(F.count(F.lit(1))).scalar() == rows, F.lit(True)).otherwise(F.raise_error(F.lit("rows are missing"))))

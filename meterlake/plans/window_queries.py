@@ -15,12 +15,12 @@ W = "(PARTITION BY meter_id ORDER BY hour_ts)"
 
 @query(
     "e1_row_lags",
-    "meter_id:i hour_ts:s kwh:d kwh_lag_1:d kwh_lag_2:d kwh_lag_24:d kwh_lag_168:d kwh_lag_336:d",
-    f"""SELECT meter_id, hour_ts, kwh, {', '.join(f'lag(kwh, {k}) OVER {W} AS kwh_lag_{k}' for k in (1, 2, 24, 168, 336))} FROM grid""",
+    "meter_id:i hour_ts:s kwh:d kwh_lag_1:d kwh_lag_2:d kwh_lag_24:d kwh_lag_168:d kwh_lag_336:d kwh_lag_1008:d",
+    f"""SELECT meter_id, hour_ts, kwh, {', '.join(f'lag(kwh, {k}) OVER {W} AS kwh_lag_{k}' for k in (1, 2, 24, 168, 336, 1008))} FROM grid""",
     "grid",
 )
 def _(v):
-    return features.lags(v.grid, "kwh", [1, 2, 24, 168, 336])
+    return features.lags(v.grid, "kwh", [1, 2, 24, 168, 336, 1008])
 
 
 ROLL = ", ".join(
@@ -200,8 +200,11 @@ def _(v):
     base = v.alerts.select("alert_id", "zone", "anomaly_score")
     rows = ranks(base, ["zone"], "anomaly_score", "alert_id", edges)
     rows = rows.withColumn("quartile", ntile(4, F.col("row_number"), F.col("group_rows")))
-    overall = ranks(base.drop("zone"), [], "anomaly_score", "alert_id", edges)
-    return rows.join(overall.select("alert_id", F.col("rank").alias("overall_rank")), "alert_id")
+    # the overall rank hangs on the score alone: counts by score, not a second ranking of the alerts
+    scores = base.groupBy("anomaly_score").agg(F.count(F.lit(1)).alias("alerts"))
+    scores = running(scores, [], F.floor(F.col("anomaly_score") * 32), ["anomaly_score"], sums={"upto": "alerts"}, descending=True)
+    overall = scores.select("anomaly_score", (F.col("upto") - F.col("alerts") + 1).alias("overall_rank"))
+    return rows.join(overall, "anomaly_score", "left")
 
 
 @query(
