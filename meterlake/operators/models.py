@@ -207,6 +207,27 @@ def changepoints(slots: DataFrame, key: str, ts: str, value: str, detector: Chan
     return rows.groupBy(key).applyInPandas(scan, f"{key} bigint, position bigint, {ts} timestamp, probability double")
 
 
+@F.udtf(returnType="meter_id bigint, position bigint, hour_ts timestamp, probability double")
+class ChangepointTable:
+    """Table function over rows with meter_id, hour_ts and kwh, one series per partition, in order:
+
+        SELECT * FROM changepoints(TABLE(hours) PARTITION BY meter_id ORDER BY hour_ts)
+
+    It holds the detector's table of one series and nothing else, however long the series is. Null values are skipped.
+    """
+
+    def __init__(self):
+        self.detector = Changepoints()
+        self.state, self.seen = self.detector.start(), 0
+
+    def eval(self, row):
+        if row["kwh"] is not None:
+            self.seen += 1
+            self.state, mass, is_break = self.detector.step(self.state, float(row["kwh"]))
+            if is_break:
+                yield row["meter_id"], self.seen, row["hour_ts"], mass
+
+
 def recent_changepoint(slots: DataFrame, breaks: DataFrame, key: str, ts: str, look_back: int = 672) -> DataFrame:
     """Does a break lie among the last ``look_back`` hourly slots of the meter?"""
     ends = slots.groupBy(key).agg(F.max(ts).alias("_end"))

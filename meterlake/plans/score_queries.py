@@ -200,6 +200,13 @@ def _(v):
     return models.changepoints(v.hourly, "meter_id", "hour_ts", "kwh")
 
 
+@query("i13_changepoint_function", "meter_id:i position:i hour_ts:s probability:d")
+def _(v):
+    v.spark.udtf.register("changepoints", models.ChangepointTable)
+    hours = v.hourly.select("meter_id", "hour_ts", "kwh")
+    return v.spark.sql("SELECT * FROM changepoints(TABLE(SELECT * FROM {hours}) PARTITION BY meter_id ORDER BY hour_ts)", hours=hours)
+
+
 @query("i14_recent_changepoint", "meter_id:i recent_changepoint:b last_changepoint:s")
 def _(v):
     slots = v.hourly

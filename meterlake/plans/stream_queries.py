@@ -73,6 +73,11 @@ def _(v):
     return jobs.run_to_table(jobs.stateful_changepoints(stream(v)), "breaks")
 
 
+@query("l5_ordered_changepoints", "meter_id:i position:i timestamp:s probability:d")
+def _(v):
+    return jobs.run_to_table(jobs.ordered_changepoints(stream(v)), "ordered-breaks", jobs.ROCKS)
+
+
 @query(
     "l6_stream_static_join",
     "zone consumer_type readings:i kwh:d4",

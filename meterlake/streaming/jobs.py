@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterlake.functions.kernels import Changepoints
@@ -31,19 +32,33 @@ def stream_readings(spark: SparkSession, folder: str) -> DataFrame:
     return StreamViews(spark, folder).readings
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process all available input into Parquet with an exactly-once sink, then read the result."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, name: str, store: str | None = None) -> DataFrame:
+    """Process all available input into Parquet with an exactly-once sink, then read the result.
+
+    ``store`` names the state store of this query; others keep the session's.
+    """
     spark = stream.sparkSession
     path = shared_folder(spark, name)
-    q = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    if store:
+        spark.conf.set(STORE, store)
+    try:
+        q = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{path}/data")
+            .option("checkpointLocation", f"{path}/state")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    finally:
+        if store:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
@@ -127,6 +142,78 @@ def stateful_changepoints(readings: DataFrame, detector: Changepoints | None = N
     )
 
 
+HOUR_MS = 3_600_000
+BUFFERED = np.dtype([("t", "<i8"), ("id", "<i8"), ("x", "<f8")])
+
+
+class OrderedChangepoints(StatefulProcessor):
+    """The detector behind an ordering buffer: rows wait, hour by hour, until the watermark has closed their hour.
+
+    State of a meter: the detector's table, the number of rows it has seen, the last closed hour, and the rows of the
+    hours still open, one entry an hour. A timer per open hour hands the hour to the detector, so files and batches out
+    of order give the breaks of the ordered series. Rows of a closed hour are late and left out.
+    """
+
+    def __init__(self, detector: Changepoints):
+        self.detector = detector
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.table = handle.getValueState("table", "seen bigint, closed bigint, table binary")
+        self.open = handle.getMapState("open", "hour bigint", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed = self.table.get()[1] if self.table.exists() else None
+        for part in rows:
+            at = part["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            got = np.empty(len(part), BUFFERED)
+            got["t"], got["id"], got["x"] = at, part["reading_id"], part["kwh"]
+            hours = at // (HOUR_MS * 1000)
+            for hour in np.unique(hours).tolist():
+                if closed is not None and hour <= closed:
+                    continue
+                held = b""
+                if self.open.containsKey((hour,)):
+                    held = self.open.getValue((hour,))[0]
+                else:
+                    self.handle.registerTimer((hour + 1) * HOUR_MS)
+                self.open.updateValue((hour,), (held + got[hours == hour].tobytes(),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() // HOUR_MS
+        due = sorted(k[0] for k in self.open.keys() if k[0] < end)
+        seen, closed, blob = self.table.get() if self.table.exists() else (0, None, None)
+        state = pickle.loads(blob) if blob else None  # noqa: S301 (our own state)
+        for hour in due:
+            got = np.sort(np.frombuffer(self.open.getValue((hour,))[0], BUFFERED), order=["t", "id", "x"])
+            self.open.removeKey((hour,))
+            masses, breaks, state = self.detector.scan(got["x"], state)
+            at = np.flatnonzero(breaks)
+            if len(at):
+                yield pd.DataFrame(
+                    {"meter_id": np.full(len(at), key[0]), "position": seen + at + 1, "timestamp": got["t"][at].astype("datetime64[us]"), "probability": masses[at]}
+                )
+            seen += len(got)
+        if due:
+            self.table.update((seen, max(due[-1], due[-1] if closed is None else closed), pickle.dumps(state)))
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_changepoints(readings: DataFrame, delay: str = "1 day", detector: Changepoints | None = None) -> DataFrame:
+    """Breaks per meter that do not hang on the order of arrival, up to ``delay`` behind the newest reading."""
+    rows = readings.where(F.col("kwh").isNotNull() & F.col("meter_id").isNotNull() & F.col("timestamp").isNotNull())
+    rows = rows.select("meter_id", "timestamp", "reading_id", "kwh").withWatermark("timestamp", delay)
+    return rows.groupBy("meter_id").transformWithStateInPandas(
+        OrderedChangepoints(detector or Changepoints()),
+        "meter_id bigint, position bigint, timestamp timestamp, probability double",
+        "Append",
+        "EventTime",
+    )
+
+
 def feeder_matches(readings: DataFrame, registry: DataFrame, telemetry: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Readings joined with their feeder's telemetry of the same hour; both sides are streams with watermarks."""
     left = readings.join(registry.select("meter_id", "feeder_id"), "meter_id").withWatermark("timestamp", delay)

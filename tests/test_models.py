@@ -98,6 +98,17 @@ def test_batch_changepoints(spark):
     assert {r["meter_id"]: r["recent_changepoint"] for r in recent.collect()}[1] is True
 
 
+def test_changepoint_function_gives_the_same_rows(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(m, start + dt.timedelta(hours=i), None if i % 37 == 0 else float(v)) for m, at in ((1, 250), (2, None), (3, 120)) for i, v in enumerate(series(at, seed=m))]
+    df = spark.createDataFrame(rows[::-1], "meter_id bigint, hour_ts timestamp, kwh double")
+    spark.udtf.register("changepoints", models.ChangepointTable)
+    got = spark.sql("SELECT * FROM changepoints(TABLE(SELECT * FROM {df}) PARTITION BY meter_id ORDER BY hour_ts)", df=df)
+    key = ["meter_id", "position"]
+    a, b = (x.toPandas().sort_values(key).reset_index(drop=True) for x in (got, models.changepoints(df, "meter_id", "hour_ts", "kwh")))
+    assert len(b) and a[key].equals(b[key]) and (a["hour_ts"] == b["hour_ts"]).all() and np.allclose(a["probability"], b["probability"])
+
+
 def test_isolation_forest_ranks_planted_outliers(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(500, 29)), rng.normal(6, 1, size=(10, 29))])

@@ -42,6 +42,23 @@ def test_stateful_changepoints_equal_batch(spark, tmp_path):
     assert len(batch) and got[key].equals(batch[key]) and np.allclose(got["probability"], batch["probability"])
 
 
+def test_ordered_changepoints_equal_batch_whatever_the_order(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(m, START + dt.timedelta(minutes=20 * i), i, float(rng.normal(10, 1) + (8 if m == 1 and i >= 250 else 0)), 0) for i in range(400) for m in (1, 2)]
+    # every row may come up to 120 places late, which is well within the delay
+    mixed = [rows[i] for i in np.argsort(np.arange(len(rows)) + rng.uniform(0, 120, len(rows)))]
+    assert mixed != rows
+    mixed.append((1, START, 9999, 500.0, 0))  # far too late: left out
+    got = jobs.run_to_table(jobs.ordered_changepoints(deliver(spark, tmp_path, mixed, 5)), "t", jobs.ROCKS).toPandas()
+    batch = models.changepoints(spark.createDataFrame(rows, SCHEMA), "meter_id", "timestamp", "kwh").toPandas()
+    newest = max(r[1] for r in rows)
+    batch = batch[batch["timestamp"] < (newest - dt.timedelta(days=1)).replace(minute=0)]  # later hours are still open
+    key = ["meter_id", "position"]
+    got, batch = got.sort_values(key).reset_index(drop=True), batch.sort_values(key).reset_index(drop=True)
+    assert len(batch) and got[key].equals(batch[key]) and np.allclose(got["probability"], batch["probability"])
+    assert (got["timestamp"] == batch["timestamp"]).all()
+
+
 def test_hourly_rollup_over_files_with_late_rows(spark, tmp_path):
     rows = [(1, START + dt.timedelta(hours=i), i, float(i), 0) for i in range(200)]
     # within the allowed delay
