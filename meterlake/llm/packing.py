@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,18 +29,25 @@ TOKENIZER = "byte_bpe_50k"
 
 @cache
 def encoder(name: str = TOKENIZER) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The tokenizer of ``<name>.json`` by its rank file, which gives the same ids; and which ids end a sentence."""
+    """The tokenizer of ``<name>.json`` by its rank file, which gives the same ids; and which ids end a sentence.
+
+    The tokens that the JSON file adds to the ranks are found in texts as they are by that tokenizer.
+    """
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    ends = np.zeros(max(ranks.values()) + 1, bool)
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    ends = np.zeros(max([*ranks.values(), *added.values()]) + 1, bool)
     for token, i in ranks.items():
         ends[i] = token[-1:] in (b".", b"!", b"?", b"\n")
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), ends
 
 
 def token_ids(text: str, name: str = TOKENIZER) -> np.ndarray:
     """Ids of a whole text and the closing id."""
-    ids = encoder(name)[0].encode_ordinary(text)
+    own = encoder(name)[0]
+    special = own.special_tokens_set
+    ids = own.encode(text, allowed_special="all") if any(t in text for t in special) else own.encode_ordinary(text)
     ids.append(END_ID)
     return np.array(ids, np.uint32)
 

@@ -486,9 +486,8 @@ def test_packing(spark, make_docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(11)
-    texts = ODD + [" ".join(prose(rng, rng.randrange(1, 700))) + rng.choice([".", "\n", " <|endoftext|> "]) for _ in range(60)]
+    texts = ODD + ["<|endoftext|> hello", "a<|endoftext|><|endoftext|>b <|endoftext|", "<|endoftext|>"] + [" ".join(prose(rng, rng.randrange(1, 700))) + rng.choice([".", "\n", " <|endoftext|> "]) for _ in range(60)]
     rows = packing.pack(make_docs(texts, extra=True), with_ids=True).collect()
     pieces: dict[int, list] = {}
     windows: dict[int, list] = {}
