@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from meterlake.functions.scaling import quantiles, running
 
@@ -43,12 +44,21 @@ def forecast_features(forecasts: DataFrame) -> DataFrame:
     )
 
 
+def coarse(df: DataFrame, key: str) -> Column:
+    """A value that never falls as ``key`` rises, with few distinct ones: thousands of a number, the head of a text."""
+    if isinstance(df.schema[key].dataType, NumericType):
+        return F.floor(F.col(key) / 4096)
+    return F.substring(F.col(key).cast("string"), 1, 4)
+
+
 def time_split(df: DataFrame, date: str, keys: list[str], share: float = 0.8, least: int = 20) -> DataFrame:
     """First ``share`` of the rows in (date, keys) order as training rows; numbered without a global sort.
 
-    ``is_calibration`` marks the last stretch of the training rows, as long as what follows them.
+    ``is_calibration`` marks the last stretch of the training rows, as long as what follows them. The rows of a date
+    are cut further by ranges of the first key, so that a day of millions of meters is many tasks.
     """
-    numbered = running(df, [], F.col(date), [date, *keys], number="_i")
+    bucket = F.struct(F.col(date), coarse(df, keys[0])) if keys else F.col(date)
+    numbered = running(df, [], bucket, [date, *keys], number="_i")
     total = df.groupBy().agg(F.count(F.lit(1))).scalar()
     cut = F.greatest(F.lit(least), F.floor(total * F.lit(share)))
     train = F.col("_i") <= cut

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.scaling import quantiles
@@ -11,6 +14,7 @@ from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, changes, current_topology, daily
 from meterlake.plans.rollup_queries import REPORT
 from meterlake.sources.storage import settle
+from meterlake.sources.views import Views
 
 LABELLED = {
     "labelled": (
@@ -89,10 +93,21 @@ def _(v):
     return scored.withColumn("_t", cut).withColumn("is_anomaly", F.col("recon_error") > F.col("_t"))
 
 
+@functools.lru_cache(maxsize=4)
+def _theft(app: str, folder: str):
+    """One forest per application and folder, whoever asks for it: the stored model and its settled, scored later rows."""
+    v = Views(SparkSession.active(), folder)
+    model, scored, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
+    return model, settle(scored.select("meter_id", "date", "theft_label", "supervised"), "theft-scores")
+
+
+def theft(v):
+    return _theft(v.spark.sparkContext.applicationId, v.folder)
+
+
 @query("i7_theft_classifier", "meter_id:i date:s theft_label:i supervised:d")
 def _(v):
-    _, scored, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
-    return scored
+    return theft(v)[1]
 
 
 @query(
@@ -108,14 +123,13 @@ def _(v):
 
 @query("i9_feature_importance", "feature importance:d")
 def _(v):
-    model, _, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
-    return models.importances(v.spark, model, reports.THEFT_FEATURES)
+    return models.importances(v.spark, theft(v)[0], reports.THEFT_FEATURES)
 
 
 @query("e0_scoring_chain", "meter_id:i date:s theft_label:i supervised:d isolation:d blended:d predicted_theft:i")
 def _(v):
     """Daily features to forest and isolation scores, scaled, blended and cut; the 500 most suspicious later days."""
-    _, scored, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
+    scored = theft(v)[1]
     forest = models.IsolationForest().fit(normal_vectors(v), ["meter_id", "date"], "vector")
     alone = forest.score(vectors(v), "vector", "isolation").select("meter_id", "date", F.col("isolation").alias("raw"))
     alone = anomaly.min_max(alone, "raw", "isolation").select("meter_id", "date", "isolation")
