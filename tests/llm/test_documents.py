@@ -304,6 +304,26 @@ def test_passages(spark, make_docs):
     assert substring.passages(make_docs([texts[0], texts[0]], ids=[1, 1])).where("doc_id != other_id").count() == 0
 
 
+@pytest.mark.parametrize("size, equal, least", [(60, 0.9, 0.95), (100, 0.87, 0.95), (100, 0.8, 0.85), (200, 0.8, 0.95)])
+def test_recall_of_fuzzy_passages(spark, make_docs, size, equal, least):
+    """Planted pairs with words replaced at random places; each is held against the places where it was planted."""
+    rng = random.Random(size)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    texts, pairs = [], 60
+    for _ in range(pairs):
+        p = [word() for _ in range(size)]
+        q = list(p)
+        for i in rng.sample(range(2, size - 2), round((1 - equal) * size)):
+            q[i] = word()
+        texts += [" ".join([word() for _ in range(40)] + x + [word() for _ in range(30)]) for x in (p, q)]
+    found = 0
+    for r in substring.passages(make_docs(texts)).collect():
+        assert r.doc_id == r.other_id + 1 and r.other_id % 2 == 0  # nothing but what was planted
+        own, other = (len(set(range(a, b)) & set(range(40, 40 + size))) for a, b in ((r.start, r.stop), (r.other_start, r.other_stop)))
+        found += min(own, other) >= 0.8 * size
+    assert found >= least * pairs
+
+
 def test_common_runs_of_fifty_words_are_covered(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     seen: dict[tuple, list[tuple[int, int]]] = {}
