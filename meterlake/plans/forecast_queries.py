@@ -469,7 +469,7 @@ FEATURES_OF = {
 
 @query(
     "e0_feature_table",
-    "meter_id:i hour_ts:s date:s kwh:d kwh_lag_168:d kwh_lag_1008:d roll_mean_24:d load_factor_day:d register_rollback:b z_vs_peer:d5 upstream_loss_ratio:d temp_c:d is_holiday:b tou_period",
+    "meter_id:i hour_ts:s date:s kwh:d kwh_lag_168:d kwh_lag_1008:d roll_mean_24:d9 load_factor_day:d register_rollback:b z_vs_peer:d5 upstream_loss_ratio:d temp_c:d is_holiday:b tou_period",
     """SELECT s.*, CAST(s.hour_ts AS DATE) AS date, coalesce(fell, false) AS register_rollback, CASE WHEN g.s > 0 THEN (kwh - g.m) / g.s END AS z_vs_peer, upstream_loss_ratio, temp_c,
     coalesce(is_holiday, false) AS is_holiday, CASE WHEN hour(s.hour_ts) BETWEEN 6 AND 8 THEN 'normal' WHEN hour(s.hour_ts) BETWEEN 9 AND 17 THEN 'peak'
     WHEN hour(s.hour_ts) BETWEEN 18 AND 21 THEN 'critical' ELSE 'off_peak' END AS tou_period
