@@ -53,6 +53,23 @@ def hashed_order(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def sampled(rows: DataFrame, most: dict, stratum: Column, *columns: str) -> DataFrame:
+    """A fixed sample with its hash ``h``: of each value of ``stratum`` in ``most`` about that many rows, 10 % more at most as a rule.
+
+    Rows with the least hashes of ``columns`` are taken, all below a bound that follows from the number of distinct
+    hashes, so nothing is sorted or gathered. Rows alike in ``columns`` all come: drop repeats of ``h`` once they are small.
+    The caller cuts to the exact number by the order of ``h``. A stratum without rows, or a null one, gives none.
+    """
+    marked = rows.withColumns({"h": hashed_order(*columns), "_s": stratum})
+    chosen = F.lit(False)
+    for r in marked.groupBy("_s").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect():  # one row a stratum
+        if r["_s"] in most:
+            share = 1.1 * (most[r["_s"]] + 4 * most[r["_s"]] ** 0.5) / max(r["n"], 1)
+            bound = (1 << 63) - 1 if share >= 1 else int((2 * share - 1) * (1 << 63))
+            chosen = chosen | ((F.col("_s") == F.lit(r["_s"])) & (F.col("h") <= F.lit(bound)))
+    return marked.where(chosen).drop("_s")
+
+
 def sieve(keys: DataFrame, column: str, bits: int = SIEVE_BITS) -> np.ndarray:
     """A bit array of fixed size with the bit of every key (long) set; built by Spark, at most ``bits / 8`` bytes.
 

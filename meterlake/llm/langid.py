@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import by_block, hashed_order
+from meterlake.llm.common import by_block, sampled
 
 #: Subwords are runs of 2, 3 and 4 bytes of words in lower case, a blank at each end.
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 EMBED = 16
-#: Labelled texts that the fit uses at most, and the characters it takes of each (about the middle of the text).
-FIT_DOCS, FIT_CHARS = 4000, 600
+#: Labelled texts that the fit uses at most, each as a whole.
+FIT_DOCS = 4000
 #: Share of right answers that the accepted ones should have at least.
 PRECISION = 0.98
 UNKNOWN = "und"
@@ -52,6 +52,15 @@ def subwords(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return found, owners
 
 
+Bag = tuple[np.ndarray, np.ndarray]  # distinct buckets of a text and how often each stands there
+
+
+def bag(text: str) -> Bag:
+    """What the fit needs of a text: at most BUCKETS pairs, however long the text is."""
+    found, _ = subwords([text])
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+
+
 @dataclass
 class Model:
     """``table`` is embedding times softmax weights for each bucket; ``scale`` and ``least`` calibrate and reject."""
@@ -80,8 +89,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 8, batch: int = 16, rate: float = 8.0, seed: int = 1) -> Model:
-    """Stochastic gradient descent on (text, lang) pairs; one pair in five is kept back to calibrate.
+def fit(rows: list[tuple[Bag, str]], epochs: int = 8, batch: int = 16, rate: float = 8.0, seed: int = 1) -> Model:
+    """Stochastic gradient descent on (bag, lang) pairs; one pair in five is kept back to calibrate.
 
     The softmax is scaled (one temperature, by maximum likelihood on what was kept back), and answers are accepted
     from the least calibrated probability at which PRECISION of the accepted were right.
@@ -94,10 +103,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 8, batch: int = 16, rate: flo
     y = np.array([langs.index(lang) for _, lang in rows], np.int64)
     held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held)
-    bags = []
-    for t, _ in rows:
-        found, _ = subwords([t])
-        bags.append(np.concatenate(found) if found else np.zeros(0, np.int32))
+    bags = [b for (b, _), _ in rows]
+    shares = [(n / max(n.sum(), 1)).astype(np.float32) for (_, n), _ in rows]
     steps, total = 0, epochs * max(1, len(train) // batch)
     for _ in range(epochs if len(langs) > 1 else 0):
         for part in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
@@ -107,20 +114,19 @@ def fit(rows: list[tuple[str, str]], epochs: int = 8, batch: int = 16, rate: flo
             part, sizes = part[sizes > 0], sizes[sizes > 0]
             if not len(part):
                 continue
-            flat = np.concatenate([bags[i] for i in part])
-            starts = np.cumsum(sizes) - sizes
-            mean = np.add.reduceat(embed[flat], starts, axis=0) / sizes[:, None]
+            flat, share = (np.concatenate([x[i] for i in part]) for x in (bags, shares))
+            mean = np.add.reduceat(embed[flat] * share[:, None], np.cumsum(sizes) - sizes, axis=0)
             p = _softmax(mean @ out + bias)
             p[np.arange(len(part)), y[part]] -= 1
             p /= len(part)
-            back = (p @ out.T) / sizes[:, None]
+            back = p @ out.T
             out -= 0.1 * speed * (mean.T @ p).astype(np.float32)
             bias -= 0.01 * speed * p.sum(0).astype(np.float32)
-            np.subtract.at(embed, flat, (speed * np.repeat(back, sizes, axis=0)).astype(np.float32))
+            np.subtract.at(embed, flat, (speed * np.repeat(back, sizes, axis=0) * share[:, None]).astype(np.float32))
     table = embed @ out
     scale, least = 1.0, 0.0
     if held.any() and len(langs) > 1:
-        scores = _mean_scores([rows[i][0] for i in np.flatnonzero(held)], table) + bias
+        scores = np.array([shares[i] @ table[bags[i]] for i in np.flatnonzero(held)]) + bias
         truth = y[held]
         scale = float(min(np.geomspace(0.25, 16, 25), key=lambda s: -np.log(_softmax(s * scores)[np.arange(len(truth)), truth] + 1e-12).mean()))
         p = _softmax(scale * scores)
@@ -131,15 +137,24 @@ def fit(rows: list[tuple[str, str]], epochs: int = 8, batch: int = 16, rate: flo
     return Model(langs, table.astype(np.float32), bias, scale, least)
 
 
-def learned(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fit on a bounded sample, in a fixed hash order, of rows whose text and lang are not null.
+def learned(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
+    """Fit on at most ``fit_docs`` whole texts with a letter, chosen by hash among rows whose text and lang are not null.
 
-    ``docs`` must hold only rows that may be learned from. Texts with any letter count.
+    ``docs`` must hold only rows that may be learned from. Rows alike in id, lang and text count once. Texts become
+    bags of subwords in Spark tasks; the driver gets only those. An empty table gives a model without languages.
     """
-    start = F.greatest(F.lit(1), F.floor(F.length("text") / 2) - fit_chars // 2)
-    t = F.substring("text", start.cast("int"), F.lit(fit_chars))
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "lang", t.alias("t"), hashed_order("doc_id", "text").alias("h"))
-    return fit([(r.t, r.lang) for r in rows.where(F.col("t").rlike(r"\p{L}")).orderBy("h", "doc_id").limit(fit_docs).collect()])
+    rows = docs.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    some = sampled(rows, {True: fit_docs}, F.lit(True), "doc_id", "lang", "text").select("h", "lang", "text")
+
+    def run(rows: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        found = [bag(t) for t in texts]
+        sides = [pa.array([b[k].astype(np.int32) for b in found], pa.list_(pa.int32())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *sides], names=["h", "lang", "buckets", "counts"])
+
+    bags = some.mapInArrow(by_block(run), "h bigint, lang string, buckets array<int>, counts array<int>").dropDuplicates(["h"]).toArrow()
+    order = np.argsort(bags.column("h").to_numpy(), kind="stable")[:fit_docs].tolist()
+    both = lambda i: tuple(bags.column(c)[i].values.to_numpy() for c in ("buckets", "counts"))
+    return fit([(both(i), bags.column("lang")[i].as_py()) for i in order])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

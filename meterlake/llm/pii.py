@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import by_block, hashed_order
+from meterlake.llm.common import by_block, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows are WIDTH characters wide and STEP apart; each decides the STEP characters in its middle.
 WIDTH, STEP = 96, 48
 MARGIN = (WIDTH - STEP) // 2
-#: Rows and characters of each that the fit uses at most as background for labelled spans.
-FIT_DOCS, FIT_CHARS = 600, 2000
-FIT_WINDOWS = 2560
+#: Rows that the fit uses at most as background for labelled spans; of each, passages from all over its whole text.
+FIT_DOCS, PASSAGES = 600, 12
+FIT_WINDOWS = 4096
 EMBED, HIDDEN, TAGS = 12, 16, 5
 #: Windows decoded at a time.
 AT_ONCE = 2048
@@ -221,7 +222,15 @@ def _made(rng: np.random.Generator, kind: int) -> str:
         d += next(c for c in "0123456789" if luhn(d + c))
         return pick(d, d, pick(" ", "-", ".").join(d[i : i + 4] for i in range(0, len(d), 4)))
     a, b, c = num(3), num(3), num(4)
-    return pick("+1 ", "+1 ", f"+{rng.integers(20, 99)} ", "", "00") + pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"{a}.{b}.{c}")
+    if rng.random() < 0.6:
+        return pick("+1 ", "+1 ", f"+{rng.integers(20, 99)} ", "", "00") + pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"{a}.{b}.{c}")
+    pairs = [num(2) for _ in range(4)]
+    french = pick(" ", ".", "-").join([pick("0", "+33 ", "0033 ") + num(1), *pairs])
+    area = pick(num(2), num(3), num(4))
+    german = pick("0", "+49 ", "0049 ") + area + pick(" ", "-", "/", " / ") + pick(num(7), num(8), f"{num(3)} {num(4)}", f"{num(2)} {num(2)} {num(3)}")
+    spanish = pick("+34 ", "0034 ") + pick(f"{a} {b} {num(3)}", f"{a} {num(2)} {num(2)} {num(2)}", f"{a}{b}{num(3)}")
+    english = pick(f"020 {c} {num(4)}", f"0{c} {a}{b}", f"+44 20 {c} {num(4)}", f"+44 (0){c} {a}{b}", f"0{a} {b} {c}")
+    return pick(french, german, spanish, english)
 
 
 def _decoy(rng: np.random.Generator) -> str:
@@ -230,23 +239,42 @@ def _decoy(rng: np.random.Generator) -> str:
     return [
         "".join(rng.choice(list("0123456789abcdef"), 40)), f"Version {rng.integers(0, 9)}.{rng.integers(0, 9)}.", num(int(rng.integers(1, 8))),
         f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{num(2)}:{num(2)}", f"@{num(3)}", f"{num(1)}.{num(4)}", f"{num(1)},{num(3)},{num(3)}",
-    ][rng.integers(8)]
+        f"{rng.integers(1990, 2030)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)} {num(2)}:{num(2)}:{num(2)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", num(int(rng.integers(9, 14))),
+        " ".join(num(int(rng.integers(1, 4))) for _ in range(int(rng.integers(2, 8)))), f"{rng.integers(1990, 2030)}-{rng.integers(1990, 2030)}", f"{num(3)}.{num(3)}.{num(3)},{num(2)}",
+    ][rng.integers(14)]
+
+
+Cut = tuple[str, list[Span]]  # a passage and its base spans, which may reach over its ends
+
+
+def passages(text: str, seed: int) -> tuple[list[Cut], list[Cut]]:
+    """Passages at random places of a whole text: anywhere, and around a digit or an @; at most PASSAGES of each."""
+    rng = np.random.default_rng(seed & 0x7FFFFFFF)
+    spans = base_spans(text)
+    marks = [m.start() for m in _SEED.finditer(text)]
+    anywhere = rng.integers(0, max(1, len(text) - WIDTH), PASSAGES)
+    around = [max(0, marks[rng.integers(len(marks))] - int(rng.integers(8, WIDTH - 8))) for _ in range(PASSAGES if marks else 0)]
+    cut = lambda at: (text[at : at + WIDTH], [(a - at, b - at, k) for a, b, k in spans if b > at and a < at + WIDTH])
+    return [cut(int(at)) for at in anywhere], [cut(at) for at in around]
 
 
 def labelled(texts: list[str], windows: int = FIT_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with a tag per character from passages of the texts."""
+    return tagged([passages(t, seed + i) for i, t in enumerate(texts) if len(t) > 20], windows, seed)
+
+
+def tagged(samples: list[tuple[list[Cut], list[Cut]]], windows: int = FIT_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Windows with a tag per character: sampled passages with their own base spans, and with entities and decoys put in."""
     rng = np.random.default_rng(seed)
-    texts = [t for t in texts if len(t) > 20] or ["the one and the other of all these are in the text " * 4]
+    samples = samples or [passages("the one and the other of all these are in the text " * 4, seed)]
     ids, tags = np.full((windows, WIDTH), PAD, np.int16), np.zeros((windows, WIDTH), np.int8)
     for r in range(windows):
-        t = texts[rng.integers(len(texts))]
-        at = int(rng.integers(0, max(1, len(t) - WIDTH)))
-        if r % 4 == 0 and (m := list(_SEED.finditer(t))):  # as it stands, around a digit or an @
-            at = max(0, m[rng.integers(len(m))].start() - int(rng.integers(8, WIDTH - 8)))
-            part, spans = t[at : at + WIDTH], base_spans(t)
-            marks = [(max(0, a - at), b - at, KINDS.index(k)) for a, b, k in spans if b > at and a < at + WIDTH]
+        anywhere, around = samples[rng.integers(len(samples))]
+        if r % 4 == 0 and around:  # as it stands, around a digit or an @
+            part, spans = around[rng.integers(len(around))]
+            marks = [(max(0, a), b, KINDS.index(k)) for a, b, k in spans]
         else:
-            part, marks = t[at : at + WIDTH], []
+            part, marks = anywhere[rng.integers(len(anywhere))][0], []
             where = int(rng.integers(0, WIDTH - 12))
             for _ in range(int(rng.integers(1, 3))):
                 kind = int(rng.integers(0, 6))
@@ -265,9 +293,9 @@ def labelled(texts: list[str], windows: int = FIT_WINDOWS, seed: int = 5) -> tup
     return ids, tags
 
 
-def fit(texts: list[str], epochs: int = 7, batch: int = 128, rate: float = 0.012, seed: int = 5) -> Model:
+def fit(samples: list[tuple[list[Cut], list[Cut]]], windows: int = FIT_WINDOWS, epochs: int = 7, batch: int = 128, rate: float = 0.012, seed: int = 5) -> Model:
     """Adam on windows of labelled spans."""
-    ids, tags = labelled(texts, seed=seed)
+    ids, tags = tagged(samples, windows, seed)
     rng = np.random.default_rng(seed)
     model = _start(rng)
     p = model.p
@@ -291,12 +319,23 @@ def fit(texts: list[str], epochs: int = 7, batch: int = 128, rate: float = 0.012
     return model
 
 
-def learned(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Fit on a bounded sample: at most ``fit_docs`` texts (those with digits or @ first), in a fixed hash order."""
-    t = F.substring(F.coalesce("text", F.lit("")), 1, fit_chars)
-    rows = docs.select(t.alias("t")).where("t != ''").select("t", (~F.col("t").rlike("[0-9@]")).alias("plain"), hashed_order("t").alias("h"))
-    seeds = rows.where("not plain").orderBy("h", "t").limit(fit_docs // 2)
-    return fit([r.t for r in seeds.unionByName(rows.where("plain").orderBy("h", "t").limit(fit_docs // 2)).collect()])
+def learned(docs: DataFrame, fit_docs: int = FIT_DOCS, windows: int = FIT_WINDOWS) -> Model:
+    """Fit on passages of at most ``fit_docs`` texts chosen by hash, one half with a digit or an @ and one without.
+
+    Tasks cut the passages from whole texts, and the driver gets only those. Equal texts count once; null texts and
+    those of up to 20 characters are left out. An empty table gives a fit on a fixed plain sentence.
+    """
+    half = fit_docs // 2
+    rows = docs.select("text").where(F.length("text") > 20)
+    some = sampled(rows, {True: half, False: half}, F.col("text").rlike("[0-9@]"), "text").select("h", "text")
+
+    def run(rows: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        cuts = [json.dumps(passages(t, h)) for t, h in zip(texts, rows.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cuts, pa.string())], names=["h", "cuts"])
+
+    found = some.mapInArrow(by_block(run), "h bigint, cuts string").dropDuplicates(["h"]).collect()
+    samples = [json.loads(r.cuts) for r in sorted(found, key=lambda r: r.h)]
+    return fit([*[s for s in samples if s[1]][:half], *[s for s in samples if not s[1]][:half]], windows)
 
 
 # ---------------------------------------------------------------- spans of whole texts
@@ -312,56 +351,65 @@ def _valid(kind: str, s: str) -> bool:
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\. ?[0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in parts)
     if kind == "card":
         return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", s)) and 14 <= len(d) <= 19 and luhn(d)
-    return bool(re.fullmatch(r"(?:\+|00)?[ ]?(?:[0-9]{1,3} )?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s)) and 10 <= len(d) <= 15
+    return bool(re.fullmatch(r"\+?[ (]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9])+", s)) and 10 <= len(d) <= 15
 
 
 def network_spans(texts: list[str], model: Model) -> list[list[Span]]:
     """Spans that the network tags, over windows that overlap by half.
 
-    Every span of a kind holds a digit or an @, so only windows with one are decoded; the others could give no span.
+    Every span of a kind holds a digit or an @, so decoding starts from the windows with one and goes on to the next
+    window wherever a tagged run reaches the end of what is decoded; no other window can give a part of a span.
     A character takes its tag from the window that has it in its middle, so the tags of a whole text are one sequence;
     runs of a tag are spans, trimmed of blanks and closing symbols, and kept if the arithmetic of the kind holds.
     """
-    jobs, grids = [], []
-    codes = []
+    codes: dict[int, np.ndarray] = {}
+    todo: list[tuple[int, int]] = []
     for n, t in enumerate(texts):
-        if not _SEED.search(t):
-            codes.append(None)
-            continue
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        codes.append(c)
-        seeds = np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64))
-        near = np.unique(np.concatenate([(seeds + d) // STEP for d in (-MARGIN, 0, MARGIN)]))
-        near = near[(near >= 0) & (near * STEP < len(c))]
-        jobs.append(np.full(len(near), n))
-        grids.append(near)
+        if _SEED.search(t):
+            codes[n] = c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            seeds = np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64))
+            near = np.unique(np.concatenate([(seeds + d) // STEP for d in (-MARGIN, 0, MARGIN)]))
+            todo += [(n, g) for g in near[(near >= 0) & (near * STEP < len(c))].tolist()]
     out: list[list[Span]] = [[] for _ in texts]
-    if not jobs:
-        return out
-    job, grid = np.concatenate(jobs), np.concatenate(grids)
-    tags = {n: np.zeros(len(c), np.int8) for n, c in enumerate(codes) if c is not None}
-    for i in range(0, len(job), AT_ONCE):
-        own, cell = job[i : i + AT_ONCE], grid[i : i + AT_ONCE]
-        ids = np.full((len(own), WIDTH), PAD, np.int16)
-        for r, (n, g) in enumerate(zip(own.tolist(), cell.tolist())):
-            a = g * STEP - MARGIN
-            part = codes[n][max(a, 0) : a + WIDTH]
-            ids[r, max(-a, 0) : max(-a, 0) + len(part)] = classes(part)
-        best = decode(model, ids)[:, MARGIN : MARGIN + STEP]
-        for r, (n, g) in enumerate(zip(own.tolist(), cell.tolist())):
-            mine = tags[n][g * STEP : (g + 1) * STEP]
-            mine[:] = best[r, : len(mine)]
+    tags = {n: np.zeros(len(c), np.int8) for n, c in codes.items()}
+    done = set(todo)
+    while todo:
+        more = set()
+        for i in range(0, len(todo), AT_ONCE):
+            own = todo[i : i + AT_ONCE]
+            ids = np.full((len(own), WIDTH), PAD, np.int16)
+            for r, (n, g) in enumerate(own):
+                a = g * STEP - MARGIN
+                part = codes[n][max(a, 0) : a + WIDTH]
+                ids[r, max(-a, 0) : max(-a, 0) + len(part)] = classes(part)
+            best = decode(model, ids)[:, MARGIN : MARGIN + STEP]
+            for r, (n, g) in enumerate(own):
+                mine = tags[n][g * STEP : (g + 1) * STEP]
+                mine[:] = best[r, : len(mine)]
+                if mine[0] and g:
+                    more.add((n, g - 1))
+                if mine[-1] and (g + 1) * STEP < len(codes[n]):
+                    more.add((n, g + 1))
+        todo = sorted(more - done)
+        done |= more
     for n, row in tags.items():
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], row, [0]))))
-        for a, b in zip(edge.tolist(), edge[1:].tolist()):
-            if row[a]:
-                kind = KINDS[row[a] - 1]
-                s = texts[n][a:b]
-                a += len(s) - len(s.lstrip(" \n\t,;:<\"'[{"))
-                s = s.strip(" \n\t,;:<>\"'[]{}*#&%$!?").rstrip(".-")
-                if _valid(kind, s):
-                    a = texts[n].index(s, a)
-                    out[n].append((a, a + len(s), kind))
+        out[n] = tag_runs(texts[n], row)
+    return out
+
+
+def tag_runs(text: str, row: np.ndarray) -> list[Span]:
+    """Spans from one tag per character."""
+    out = []
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], row, [0]))))
+    for a, b in zip(edge.tolist(), edge[1:].tolist()):
+        if row[a]:
+            kind = KINDS[row[a] - 1]
+            s = text[a:b]
+            a += len(s) - len(s.lstrip(" \n\t,;:<\"'[{"))
+            s = s.strip(" \n\t,;:<>\"'[]{}*#&%$!?").rstrip(".-")
+            if _valid(kind, s):
+                a = text.index(s, a)
+                out.append((a, a + len(s), kind))
     return out
 
 

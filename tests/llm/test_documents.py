@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meterlake.llm import decontam, langid, packing, pii, quality, simhash, substring, toxicity
+from meterlake.llm.common import sampled
 from meterlake.llm.components import components
 from tests.conftest import FOLDER
 from tests.llm.conftest import ODD
@@ -50,6 +52,53 @@ def test_language_without_labels(spark, make_docs):
     assert (row.lang, row.lang_pred, row.score) == ("und", "und", 0.0)
 
 
+def brute_mean(text: str, table: np.ndarray) -> np.ndarray:
+    """Mean row of the table over runs of 2 to 4 bytes of a text, signs and digits as blanks, read one by one."""
+    low = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode())
+    rows = []
+    for n in langid.GRAMS:
+        for i in range(len(low) - n + 1):
+            run = low[i : i + n]
+            if (32 in run[1:-1]) if n > 2 else run == b"  ":
+                continue
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for b in run:
+                h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+            rows.append(table[(h ^ h >> 15) % langid.BUCKETS])
+    return np.mean(rows, axis=0) if rows else np.zeros(table.shape[1])
+
+
+def test_language_scores_by_loop():
+    rng = random.Random(3)
+    table = np.random.default_rng(3).normal(size=(langid.BUCKETS, 3))
+    texts = ["", "a", "7", " a  b ", "it's 12,5 km", "é ñ 漢字 🙂"] + ["".join(rng.choice("abé漢Z 1.'") for _ in range(rng.randrange(60))) for _ in range(60)]
+    for t, got in zip(texts, langid._mean_scores(texts, table)):
+        assert np.allclose(got, brute_mean(t, table)), t
+        buckets, counts = langid.bag(t)
+        if len(buckets):
+            assert np.allclose(counts @ table[buckets] / counts.sum(), got)
+
+
+def test_language_fit_reads_whole_texts(spark, make_docs):
+    filler = "1234567890 " * 300  # no letters for 3300 characters on both sides of the middle, then words at one end
+    words = {"aa": "ba da ga lama tana ", "bb": "zo vu xi quoz vurx "}
+    texts = [f"{filler}{filler}{words[x] * 3}" if i % 2 else f"{words[x] * 3}{filler}{filler}" for i in range(40) for x in words]
+    model = langid.learned(make_docs(texts, langs=list(words) * 40))
+    rows = langid.predict(make_docs(list(words.values()), langs=list(words)), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == ["aa", "bb"]
+
+
+def test_sample_is_bounded(spark, make_docs):
+    docs = make_docs([f"text {i}" if i % 2 else "same" for i in range(4000)], ids=[i if i % 2 else 0 for i in range(4000)])
+    some = sampled(docs, {True: 200, False: 50}, F.col("text") == "same", "doc_id", "text")
+    kinds = {r.same: r.n for r in some.groupBy((F.col("text") == "same").alias("same")).agg(F.countDistinct("h").alias("n")).collect()}
+    assert kinds[True] == 1 and 50 <= kinds[False] <= 150
+    assert some.where("text != 'same'").exceptAll(sampled(docs.repartition(7), {False: 50}, F.col("text") == "same", "doc_id", "text")).count() == 0
+    assert sampled(make_docs([]), {True: 5}, F.lit(True), "text").count() == 0
+    for model in (langid.learned(docs, fit_docs=30), langid.learned(make_docs(["same"] * 50, ids=[1] * 50))):
+        assert model.langs == ["en"]
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -486,6 +535,44 @@ def test_personal_data(spark, make_docs, pii_model):
     assert pii.find(make_docs(["a@b.cd"] * 2, ids=[None, None]), pii_model).count() == 2
 
 
+def test_added_spans(spark, pii_model):
+    """Every kind written in ways of four countries, put into held-out texts: found whole at least 85 times in 100 from 150 texts."""
+    texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id % 2 = 1 and length(text) > 200").collect()]
+    rng = np.random.default_rng(99)
+    hit = {k: [] for k in range(4)}
+    for i in range(600):
+        t, k = texts[i % len(texts)], i % 4
+        made, at = pii._made(rng, k), max(0, t.rfind(" ", 0, int(rng.integers(60, len(t)))))
+        found = pii.all_spans([f"{t[:at]} {made} {t[at:]}"], pii_model)[0][1]
+        hit[k].append(any((a, b) == (at + 1, at + 1 + len(made)) for a, b, _ in found))
+    assert min(np.mean(x) for x in hit.values()) >= 0.85, {k: np.mean(x) for k, x in hit.items()}
+    added = [s for t, (base, every) in zip(texts, pii.all_spans(texts, pii_model)) for s in every if s not in base]
+    assert len(added) <= len(texts) // 50
+
+
+def test_runs_are_decoded_to_their_ends(spark, pii_model):
+    """Tagged runs over several windows are those of decoding every window of the text."""
+    rng = random.Random(4)
+    parts = ["word", "a.b", "name @ department.long-subdomain.example.org", "x" * 60 + "@y.de", "06 12 34 56 78", "-" * 70]
+    texts = [" ".join(rng.choice(parts) for _ in range(30)) for _ in range(20)]
+    for t, got in zip(texts, pii.network_spans(texts, pii_model)):
+        c = np.array([ord(x) for x in t])
+        tags = np.zeros(len(t), int)
+        for g in range(-(-len(t) // pii.STEP)):
+            ids = np.full((1, pii.WIDTH), pii.PAD, np.int16)
+            a = g * pii.STEP - pii.MARGIN
+            part = c[max(a, 0) : a + pii.WIDTH]
+            ids[0, max(-a, 0) : max(-a, 0) + len(part)] = pii.classes(part)
+            own = tags[g * pii.STEP : (g + 1) * pii.STEP]
+            own[:] = pii.decode(pii_model, ids)[0, pii.MARGIN : pii.MARGIN + pii.STEP][: len(own)]
+        assert got == pii.tag_runs(t, tags), t
+
+
+def test_personal_data_fit_on_odd_tables(spark, make_docs):
+    for docs in (make_docs([]), make_docs(ODD[:5]), make_docs(["the same text with 1 digit in it"] * 40, ids=[None] * 40)):
+        assert pii.learned(docs, windows=256).p["embed"].shape[0] == pii.CLASSES
+
+
 # ---------------------------------------------------------------- packing
 
 
