@@ -54,7 +54,8 @@ def changes(v):
     """Meter-days above twice the meter's mean day: stand-ins for detected breaks."""
     d = daily(v)
     usual = d.groupBy("meter_id").agg(F.avg("kwh").alias("usual"))
-    return d.join(usual, "meter_id").where(F.col("kwh") > 2 * F.col("usual"))
+    # a day of exactly twice the mean is none, in whatever order the means were summed
+    return d.join(usual, "meter_id").where(F.round(F.col("kwh") - 2 * F.col("usual"), 9) > 0)
 
 
 def current_topology(v):
