@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -191,20 +192,51 @@ def meta_classifier(labelled: DataFrame, rows: DataFrame, features: list[str], l
 # ---------------------------------------------------------------- changepoints
 
 
+#: Series that a task scans side by side, or fewer once they hold so many rows.
+SIDE_BY_SIDE, SIDE_ROWS = 128, 1 << 18
+
+
 def changepoints(slots: DataFrame, key: str, ts: str, value: str, detector: Changepoints | None = None) -> DataFrame:
-    """Breaks of each series. The detector is sequential along one meter, whose slots the calendar bounds."""
-    d = detector or Changepoints()
+    """Breaks of each series. The detector is sequential along one meter, whose slots the calendar bounds.
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ts)
-        masses, breaks, _ = d.scan(rows[value].to_numpy())
-        at = np.flatnonzero(breaks)
-        return pd.DataFrame(
-            {key: rows[key].iloc[:1].repeat(len(at)).to_numpy(), "position": at + 1, ts: rows[ts].to_numpy()[at], "probability": masses[at]}
-        )
+    A task's rows come sorted by meter and time, and whole series are scanned side by side, so that short series cost
+    neither a call each nor a step of numpy for every value.
+    """
+    d = detector or Changepoints()
+    schema = f"{key} bigint, position bigint, {ts} timestamp, probability double"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = [key, "position", ts, "probability"], [pa.int64(), pa.int64(), None, pa.float64()]
+        waiting, parts, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            # parts of a series: its rows in one batch each
+            whole = [(k, pa.concat_arrays([t for t, _ in got]), np.concatenate([x for _, x in got])) for k, got in waiting]
+            found = d.scan_many([x for _, _, x in whole])
+            keys = [k for (k, _, _), (at, _) in zip(whole, found, strict=True) for _ in at]
+            times = [t.take(pa.array(at)) for (_, t, _), (at, _) in zip(whole, found, strict=True)]
+            at, mass = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            columns = [pa.array(keys, types[0]), pa.array(at + 1, types[1]), pa.concat_arrays(times), pa.array(mass, types[3])]
+            return pa.RecordBatch.from_arrays(columns, names)
 
-    rows = slots.where(F.col(value).isNotNull()).select(key, ts, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandas(scan, f"{key} bigint, position bigint, {ts} timestamp, probability double")
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            x = b.column(2).to_numpy(zero_copy_only=False)
+            starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if not waiting or waiting[-1][0] != ids[i]:
+                    if len(waiting) >= SIDE_BY_SIDE or held >= SIDE_ROWS:
+                        yield flush()
+                        waiting, held = [], 0
+                    parts = []
+                    waiting.append((ids[i], parts))
+                parts.append((b.column(1).slice(i, j - i), x[i:j]))
+                held += j - i
+        if waiting:
+            yield flush()
+
+    rows = slots.where(F.col(value).isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, F.col(ts).asc_nulls_last()).mapInArrow(scan, schema)
 
 
 @F.udtf(returnType="meter_id bigint, position bigint, hour_ts timestamp, probability double")
