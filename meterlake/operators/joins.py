@@ -145,7 +145,7 @@ def unexplained(changes: DataFrame, calendar: DataFrame, days: int = 2) -> DataF
 
 def listed(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, size: int = 200) -> DataFrame:
     """Ordered lists per key in segments of at most ``size`` items, so that no list outgrows a row."""
-    numbered = running(df, keys, bucket, order, number="_i").withColumn("segment", F.floor((F.col("_i") - 1) / size))
+    numbered = running(df, keys, bucket, order, number="_i", small=True).withColumn("segment", F.floor((F.col("_i") - 1) / size))
     lists = numbered.groupBy(*keys, "segment").agg(F.sort_array(F.collect_list(F.struct("_i", value.alias("item")))).alias("_l"))
     return lists.select(*keys, "segment", F.transform("_l", lambda x: x["item"]).alias("items"))
 

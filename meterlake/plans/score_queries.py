@@ -339,14 +339,16 @@ CHAIN_SQL = """WITH RECURSIVE links AS (
     """
 
 
+def logged():
+    return audit.canonical_json(["step", "part_id", "inspector_id", "outcome"])
+
+
 def audit_log(v):
-    return v.audits.withColumnRenamed("related_alert_id", "alert_id").withColumn(
-        "payload", audit.canonical_json(["step", "part_id", "inspector_id", "outcome"])
-    )
+    return v.audits.withColumnRenamed("related_alert_id", "alert_id")
 
 
 def chained(v):
-    return audit.chain(audit_log(v), "alert_id", F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], "payload")
+    return audit.chain(audit_log(v), "alert_id", F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], "payload", logged())
 
 
 def _recursive(tail: str) -> str:
@@ -384,8 +386,8 @@ def _(v):
     from meterlake.functions.scaling import running
 
     return running(
-        audit_log(v), ["alert_id"], F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], number="position"
-    )
+        audit_log(v), ["alert_id"], F.date_trunc("month", "action_timestamp"), ["action_timestamp", "step", "part_id", "inspector_id"], number="position", small=True
+    ).withColumn("payload", logged())
 
 
 MOVES = " OR ".join(
