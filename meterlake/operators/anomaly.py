@@ -84,7 +84,10 @@ def fence_flags(df: DataFrame, keys: list[str], column: str, width: float = 1.5)
 
 
 def pattern(df: DataFrame) -> DataFrame:
-    """First matching rule names the kind of anomaly; absent evidence counts as false."""
+    """First matching rule names the kind of anomaly; absent evidence counts as false.
+
+    The load factor is rounded, so that a peak of exactly twice the mean does not hang on the order of a sum.
+    """
 
     def yes(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))
@@ -93,7 +96,7 @@ def pattern(df: DataFrame) -> DataFrame:
         F.when(yes(F.col("rollback")), "clock_fraud")
         .when(yes(F.col("power_factor") > 1), "phase_reversal")
         .when(yes(F.col("flatline")), "flatline")
-        .when(yes((F.col("drop_ratio") > 0.8) & (F.col("load_factor") < 0.5)), "bypass")
+        .when(yes((F.col("drop_ratio") > 0.8) & (F.round("load_factor", 12) < 0.5)), "bypass")
         .when(yes(F.col("peer_z") < -0.8), "slowdown")
         .when(yes(F.col("loss_ratio") > 0.08), "illegal_extension")
         .otherwise("unknown")

@@ -271,7 +271,7 @@ def _(v):
     facts = rows.groupBy("meter_id", F.to_date("hour_ts").alias("date")).agg(
         F.bool_or(F.col("register_step") < 0).alias("rollback"),
         F.max(F.try_divide(x, F.col("kvah"))).alias("power_factor"),
-        (F.stddev(x) < 0.5).alias("flatline"),
+        (F.round(F.stddev(x), 12) < 0.5).alias("flatline"),
         F.try_divide(F.max(x) - F.min(x), F.max(x)).alias("drop_ratio"),
         F.try_divide(F.avg(x), F.max(x)).alias("load_factor"),
         F.avg("z_vs_peer").alias("peer_z"),
