@@ -275,7 +275,8 @@ FORECAST_NUMBERS = ["month", "dayofweek", "day", "lag_actual", "lag_forecast", "
 
 
 def _demand_rows(forecasts: DataFrame) -> DataFrame:
-    rows = forecast.time_split(forecast.forecast_features(forecasts), "forecast_date", ["zone"])
+    # a row per zone and day made from all orders: medians, numbering and split read the written rows, not the orders
+    rows = forecast.time_split(forecast.forecast_features(settle(forecasts, "forecasts")), "forecast_date", ["zone"])
     return settle(rows, "demand")
 
 
@@ -325,7 +326,7 @@ def quantile_forecast(predicted: DataFrame, low: float = 0.1, high: float = 0.9)
 
 def grid_search(forecasts: DataFrame, grid: dict[str, list], folds: int = 3, train_days: int = 30, val_days: int = 7) -> DataFrame:
     """Mean walk-forward error of every parameter set, and the smallest. Each fit is a Spark job."""
-    rows = forecast.forecast_features(forecasts)
+    rows = forecast.forecast_features(settle(forecasts, "forecasts"))
     parts = settle(forecast.walk_forward(rows, "forecast_date", folds, train_days, val_days), "folds")
     ready = _assemble(parts, parts)
     names = list(grid)
