@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.kernels import Changepoints, forest_scores, grow_tree
-from meterlake.operators import boosting, forecast
+from meterlake.operators import boosting, forecast, forest
 from meterlake.sources.storage import settle, stored
 
 
@@ -105,22 +105,19 @@ def theft_classifier(
     daily: DataFrame, features: list[str], label: str, date: str, keys: list[str], trees: int = 220, depth: int = 10, seed: int = 42
 ):
     """Class-balanced random forest on the first 80 % of the days; returns the model and the scored later rows."""
-    rows = settle(forecast.time_split(daily.fillna(0.0, features), date, keys), "theft")
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    train = assembled.where("is_train")
+    # numbering and splitting go over the days more than once
+    days = settle(daily.fillna(0.0, features), "theft-days")
+    rows = settle(forecast.time_split(days, date, keys), "theft")
+    train = rows.where("is_train")
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     n = sum(counts.values())
-    weight = F.when(F.col(label) == 1, n / (2 * max(1, counts.get(1, 0)))).otherwise(n / (2 * max(1, counts.get(0, 0))))
-    model = RandomForestClassifier(
-        labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed
-    ).fit(train.withColumn("weight", weight))
-    model = stored(model, "forest")
-    scored = model.transform(assembled.where("NOT is_train")).withColumn("supervised", vector_to_array("probability")[1])
-    return model, scored.drop("rawPrediction", "probability", "prediction"), train
+    weights = tuple(n / (2 * max(1, counts.get(k, 0))) for k in (0, 1))
+    model = forest.fit_forest(train, "position", features, label, weights, trees=trees, depth=depth, seed=seed)
+    return model, model.score(rows.where("NOT is_train"), "supervised"), train
 
 
 def importances(spark, model, features: list[str], top: int = 12) -> DataFrame:
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    rows = [(f, float(v)) for f, v in zip(features, model.importances(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
