@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.scaling import quantiles
@@ -14,7 +11,6 @@ from meterlake.plans.catalog import query
 from meterlake.plans.join_queries import FLAGS, changes, current_topology, daily
 from meterlake.plans.rollup_queries import REPORT
 from meterlake.sources.storage import settle
-from meterlake.sources.views import Views
 
 LABELLED = {
     "labelled": (
@@ -93,21 +89,14 @@ def _(v):
     return scored.withColumn("_t", cut).withColumn("is_anomaly", F.col("recon_error") > F.col("_t"))
 
 
-@functools.lru_cache(maxsize=4)
-def _theft(app: str, folder: str):
-    """One forest per application and folder, whoever asks for it: the stored model and its settled, scored later rows."""
-    v = Views(SparkSession.active(), folder)
-    model, scored, _ = models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])
-    return model, settle(scored.select("meter_id", "date", "theft_label", "supervised"), "theft-scores")
-
-
 def theft(v):
-    return _theft(v.spark.sparkContext.applicationId, v.folder)
+    """The forest and its scored later days. Every query fits its own: a kept one would go on scoring tables that have changed."""
+    return models.theft_classifier(reports.theft_days(v), reports.THEFT_FEATURES, "theft_label", "date", ["meter_id"])[:2]
 
 
 @query("i7_theft_classifier", "meter_id:i date:s theft_label:i supervised:d")
 def _(v):
-    return theft(v)[1]
+    return theft(v)[1].select("meter_id", "date", "theft_label", "supervised")
 
 
 @query(

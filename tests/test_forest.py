@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from meterlake.operators import forest, models
+from meterlake.plans import reports, score_queries
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -170,6 +172,18 @@ def test_scores_do_not_hang_on_partitions(spark):
     assert found[0] == found[1]
 
 
+def test_theft_follows_its_tables(spark, monkeypatch):
+    """A second call on a folder whose tables changed must not return the days scored before."""
+    v = SimpleNamespace(spark=spark, folder="/nowhere/theft")
+    monkeypatch.setattr(score_queries, "Views", lambda *_: v, raising=False)
+    monkeypatch.setattr(reports, "THEFT_FEATURES", NAMES)
+    fit = models.theft_classifier
+    monkeypatch.setattr(models, "theft_classifier", lambda *a: fit(*a, trees=4, depth=3))
+    for rows in (200, 300):
+        monkeypatch.setattr(reports, "theft_days", lambda _, n=rows: planted(spark, n).withColumnRenamed("y", "theft_label"))
+        assert score_queries.theft(v)[1].count() == rows // 5
+
+
 def test_odd_tables(spark):
     df = planted(spark, 100)
     with pytest.raises(Exception, match="labels must be"):
