@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from types import SimpleNamespace
 
 import numpy as np
@@ -172,6 +173,21 @@ def test_scores_do_not_hang_on_partitions(spark):
     assert found[0] == found[1]
 
 
+def test_days_are_made_once(spark, tmp_path):
+    """The days come from several joins and aggregates of all readings; no later pass may make them again."""
+    df, seen = planted(spark, 400), str(tmp_path)
+
+    def noted(batches):
+        for b in batches:
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(b)))
+            yield b
+
+    _, scored, _ = models.theft_classifier(df.mapInPandas(noted, df.schema), NAMES, "y", "date", ["meter_id"], trees=2, depth=2)
+    assert scored.count() == 80
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 400
+
+
 def test_theft_follows_its_tables(spark, monkeypatch):
     """A second call on a folder whose tables changed must not return the days scored before."""
     v = SimpleNamespace(spark=spark, folder="/nowhere/theft")
