@@ -146,3 +146,32 @@ def test_payloads(spark):
     first, *others = payloads.training_summary(rows, "text").collect()
     assert (first.forecast_status, first.anomaly_status, first.train_rows, first.features, first.best_feature) == ("trained", payloads.NOT_TRAINED, 5, 1, "f")
     assert all(r.forecast_status == payloads.NOT_TRAINED and r.mape is None and r.features == 0 for r in others)
+
+
+def test_stored_order_changes_no_node(spark):
+    """Logs in order, backwards and in pieces have the same nodes and proofs; leaves of a stored log are not shuffled."""
+    sizes = {"a": 700, "b": 16, None: 33}
+    rows = [tuple(r) for r in log(spark, sizes).collect()]
+    seen = set()
+    for order, parts in ((rows, 1), (rows[::-1], 1), (rows, 7)):
+        df = spark.createDataFrame(order, LOG).coalesce(1) if parts == 1 else spark.createDataFrame(order, LOG).repartition(parts)
+        nodes = merkle.tree(df, ["key"], "position", "payload")
+        asked = merkle.proofs(nodes, df.where("position % 5 = 1"), ["key"], "position")
+        proofs = tuple(sorted((str(r.key), r.position, tuple((s.level, tuple(s.hashes)) for s in r.proof)) for r in asked.collect()))
+        seen.add((tuple(sorted((str(r.key), r.level, r.idx, r.hash, r.leaves) for r in nodes.collect())), proofs))
+    assert len(seen) == 1
+    levels = {}
+    for _, level, idx, h, _ in [x for x in next(iter(seen))[0] if x[0] == "a"]:
+        levels.setdefault(level, {})[idx] = h
+    for key, position, proof in next(iter(seen))[1]:
+        if key == "a":
+            for level, hashes in proof:
+                up = (position - 1) // 16 ** (level + 1)
+                assert hashes == tuple(levels[level][i] for i in range(16 * up, 16 * up + 16) if i in levels[level])
+            assert [level for level, _ in proof] == [0, 1, 2]
+
+
+def test_few_leaves_of_an_ordered_log_are_dealt_out(spark):
+    df = spark.range(1, 20_001, numPartitions=2).select(F.lit("k").alias("key"), F.col("id").alias("position"), F.col("id").cast("string").alias("payload"))
+    leaves = df.select("key", (F.col("position") - 1).alias("idx"), F.unhex(merkle.leaf_hash(F.col("payload"))).alias("hash"))
+    assert merkle._pieces(leaves, ["key"], True).where("not whole").count() <= 8
