@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import numpy as np
 import pandas as pd
@@ -228,3 +229,15 @@ def test_long_chain_shows_every_deletion(spark):
     for lost in (f"position BETWEEN {size - 49} AND {size}", f"position BETWEEN {size + 1} AND {2 * size}", f"position > {n - 5}", "position = 1", f"position > {2 * size}"):
         left = rows.where(f"NOT ({lost})")
         assert audit.broken_segments(left, heads, "alert_id").count() > 0, lost
+
+
+def test_feature_table_rolls_once_and_deals_wide_rows_by_meter(spark):
+    """Group values come from the narrow slots: rolled rows are made once and are dealt out by meter, never by group or hour."""
+    from meterlake.plans import reports
+    from meterlake.sources.views import Views
+
+    folder = os.environ.get("METERLAKE_TEST_DATA", "/root/testdata/sf0.001")
+    plan = reports.feature_table(Views(spark, folder), "2024-01-24", "2024-01-31")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow ") == 1
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and plan.index(line) < plan.index("MapInArrow ")]
+    assert not [line for line in wide if "hour_ts" in line.split("ENSURE")[0]]
